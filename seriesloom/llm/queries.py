@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, contamination, fingerprints, quality, token_blocks, trie_counts
+from . import bpe_codec, contamination, fingerprints, jaccard_join, license_scan, line_dedup, ngram_scores, quality, token_blocks, trie_counts
 from .shared import shared_folder
 
 
@@ -31,10 +31,19 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contamination_report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op5_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_counts.token_counts(_read(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(_read(spark, sf_dir, "documents")).withColumn("n_detections", F.size("detections").cast("bigint")).drop("detections")
+
+
 def op7_media_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.media_digests(_read(spark, sf_dir, "documents"))
 
@@ -43,14 +52,27 @@ def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_digests(_read(spark, sf_dir, "documents"))
 
 
+def op9_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ngram_scores.backoff_scores(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_found", F.round("score", 6).alias("score"))
+
+
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_blocks": op1_token_blocks,
         "op2_quality": op2_quality,
         "op3_decontamination": op3_decontamination,
+        "op4_line_dedup": op4_line_dedup,
         "op5_trie_token_counts": op5_trie_token_counts,
+        "op6_license_scan": op6_license_scan,
         "op7_media_fingerprints": op7_media_fingerprints,
         "op8_bpe_codec": op8_bpe_codec,
+        "op9_ngram_scores": op9_ngram_scores,
+        "op10_jaccard_join": op10_jaccard_join,
     }
 
 
