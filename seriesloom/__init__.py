@@ -1,0 +1 @@
+"""Spark-native analytics over keyed price series."""
