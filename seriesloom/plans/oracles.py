@@ -197,8 +197,14 @@ def oracle_sql() -> dict[str, str]:
         "m_rolling": f"WITH {_SIGNALS}, {_equity('signal_mean_reversion')}, a AS (SELECT *, {_roll('avg', 'strategy_returns_net', 252)} AS m, {_roll('stddev_samp', 'strategy_returns_net', 252)} AS s, max(cum_strategy_returns) OVER ({_W} ROWS BETWEEN 251 PRECEDING AND CURRENT ROW) AS top FROM equity) SELECT series_key, seq, timestamp, {_r('m / nullif(s, 0) * sqrt(252)')} AS rolling_sharpe, {_r('s * sqrt(252)')} AS rolling_volatility, {_r('(cum_strategy_returns - top) / nullif(top, 0)')} AS rolling_drawdown FROM a",
         "reg_univariate": f"WITH {_FEATURED}, a AS (SELECT *, lead(returns * 100) OVER ({_W}) AS y FROM f7), b AS (SELECT * FROM a WHERE y IS NOT NULL AND " + " AND ".join(f"{f} IS NOT NULL" for f in REGRESSORS) + "), s AS (" + " UNION ALL ".join(f"SELECT series_key, '{f}' AS feature, CAST(count(*) AS DOUBLE) AS n, stddev_pop({f}) AS s, covar_pop({f}, y) AS c, var_pop(y) AS v, corr({f}, y) AS k FROM b GROUP BY 1" for f in REGRESSORS)
         + f"), t AS (SELECT *, c / nullif(s, 0) AS slope, c / nullif(s, 0) * n / (n + 1) AS coef FROM s), u AS (SELECT *, v - 2 * coef * slope + coef * coef AS rest FROM t) SELECT series_key, feature, {_r('1 - rest / v')} AS r2, {_r('sqrt(rest)')} AS rmse, {_r('k')} AS correlation, {_r('coef')} AS coefficient, {_r('abs(k)')} AS abs_correlation FROM u",
+        "describe": f"WITH {_FEATURED} " + " UNION ALL ".join(f"SELECT series_key, '{c}' AS \"column\", count({c}) AS count, {_r(f'avg({c})')} AS mean, {_r(f'stddev_samp({c})')} AS std, {_r(f'min({c})')} AS min, " + ", ".join(f"{_r(f'quantile_cont({c}, 0.{x})')} AS p{x}" for x in (25, 50, 75)) + f", {_r(f'max({c})')} AS max FROM f7 GROUP BY 1" for c in ("price", "returns", "rsi", "z_score")),
+        "key_figures": f"WITH {_FEATURED}, a AS (SELECT *, max(price) OVER ({_CUM}) AS top FROM f7) SELECT series_key, count(*) AS final_rows, min(timestamp) AS first_time, max(timestamp) AS last_time, {_r('min(price)')} AS min_price, {_r('max(price)')} AS max_price, {_r('avg(returns) * 100')} AS avg_return_pct, {_r('stddev_samp(returns) * 100')} AS return_volatility_pct, {_r('avg(returns) / stddev_samp(returns) * sqrt(252)')} AS sharpe_ratio, {_r('(min(price / top) - 1) * 100')} AS max_drawdown_pct, "
+        + ", ".join(f"{_r(f'count(*) FILTER (signal = {v}) * 100.0 / count(*)')} AS {k}_pct" for k, v in (("long", 1), ("short", -1), ("neutral", 0))) + " FROM a GROUP BY 1",
+        "ch_drawdown": f"WITH {_DAILY}, a AS (SELECT *, {_change()} AS r FROM base), b AS (SELECT *, {_product('r')} AS cum FROM a), c AS (SELECT *, max(cum) OVER ({_CUM}) AS top FROM b) SELECT series_key, timestamp, {_r('(cum - top) / top * 100')} AS drawdown_pct FROM c",
         "ch_histogram": f"WITH {_TICK}, e AS (SELECT series_key, min(price) AS a, max(price) AS b, (max(price) - min(price)) / 50 AS w FROM base GROUP BY 1), h AS (SELECT series_key, a, w, CAST(CASE WHEN w > 0 THEN least(floor((price - a) / w), 49) ELSE 0 END AS INTEGER) AS bin, count(*) AS n FROM base JOIN e USING (series_key) GROUP BY 1, 2, 3, 4) SELECT series_key, bin, {_r('a + bin * w', 6)} AS low, {_r('a + (bin + 1) * w', 6)} AS high, n FROM h",
         "ch_monthly_pivot": f"WITH {_DAILY}, a AS (SELECT *, {_change()} AS r FROM base), m AS (SELECT series_key, CAST(year(timestamp) AS INTEGER) AS year, month(timestamp) AS month, (product(1 + r) - 1) * 100 AS r FROM a WHERE r IS NOT NULL GROUP BY 1, 2, 3) SELECT series_key, year, " + ", ".join(f"{_r(f'max(r) FILTER (month = {k})')} AS m{k}" for k in range(1, 13)) + " FROM m GROUP BY 1, 2",
         "ch_corr_matrix": f"WITH {_FEATURED} " + " UNION ALL ".join(f"SELECT series_key, '{b}' AS x, '{a}' AS y, {_r(f'corr({a}, {b})')} AS correlation FROM f7 GROUP BY 1" for k, a in enumerate(REGRESSORS) for b in REGRESSORS[k + 1 :]),
     }
+    full = q["clean_full"]
+    q["clean_report"] = f"WITH {_RAW}, done AS ({full}) SELECT series_key, original_rows, final_rows, original_rows - final_rows AS removed, {_r('final_rows * 100.0 / original_rows')} AS retention_pct FROM (SELECT series_key, count(*) AS original_rows FROM base GROUP BY 1) JOIN (SELECT series_key, count(*) AS final_rows FROM done GROUP BY 1) USING (series_key)"
     return q

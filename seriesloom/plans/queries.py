@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import KEY
-from ..operators import backtest, catalogue, chartdata, clean, features, metrics, quality, regress, signals
+from ..operators import backtest, catalogue, chartdata, clean, features, metrics, quality, regress, signals, summary
 from ..params import Params
 from ..sources.series import daily, raw_orders, tick
 
@@ -133,6 +133,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "reg_univariate": lambda s, d: finish(regress.univariate(featured(s, d), REGRESSORS), 4),
         "reg_walk_forward": lambda s, d: finish(regress.walk_forward(featured(s, d), REGRESSORS)[0], 4),
         "reg_compare": lambda s, d: finish(regress.compare_kinds(featured(s, d), REGRESSORS), 4),
+        "describe": lambda s, d: finish(summary.describe(featured(s, d), ["price", "returns", "rsi", "z_score"]), 4),
+        "key_figures": lambda s, d: finish(summary.key_figures(featured(s, d)), 4),
+        "clean_report": lambda s, d: finish(clean.cleaning_report(raw_orders(s, d), clean.clean(raw_orders(s, d), ORDERS)), 4),
+        "ch_drawdown": lambda s, d: finish(chartdata.drawdown_curve(features.add_returns(daily(s, d))), 4),
         "ch_histogram": lambda s, d: finish(chartdata.histogram(tick(s, d), "price")),
         "ch_monthly_pivot": lambda s, d: finish(chartdata.monthly_returns(features.add_returns(daily(s, d))), 4),
         "ch_corr_matrix": lambda s, d: finish(chartdata.correlation_matrix(featured(s, d), REGRESSORS), 4),
