@@ -164,7 +164,7 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
         sizes = left("n") + right("n")
         return (F.least(left("n"), right("n")) * 100 >= F.greatest(left("n"), right("n")) * percent) & (differing * (100 + percent) <= sizes * (100 - percent))
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def verify(pairs: DataFrame, _: DataFrame) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         sets = _sets_of(docs, written(ids), classes, size, id_col, text_col)
         sets = written(sets.groupBy("id").agg(F.first("elements").alias("elements")))
@@ -181,5 +181,5 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
 def drop_near_copies(docs: DataFrame, size: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each group of linked documents, the one with the smallest id stays, with all its columns."""
     groups = jaccard_components(docs, size, percent, id_col, text_col)
-    gone = written(groups.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(small(gone), docs[id_col] == F.col("_gone"), "left_anti")
+    gone = written(groups.where("component_id < doc_id").select(F.col("doc_id").alias(id_col)).distinct())
+    return docs.join(small(gone), id_col, "left_anti").select(*docs.columns)

@@ -58,20 +58,21 @@ def link_groups(
     keyed: DataFrame,
     features: Callable[[DataFrame], DataFrame],
     may_link: Callable[[Callable[[str], Column], Callable[[str], Column]], Column],
-    verify: Callable[[DataFrame], DataFrame],
+    verify: Callable[[DataFrame, DataFrame], DataFrame],
+    hidden: tuple[str, ...] = (),
 ) -> DataFrame:
     """(id, root) of all items in groups of two or more.
 
     keyed: (key, id), possibly with repeats. features(ids) gives (id, more columns) of a table of ids. may_link(l, r) is
-    a condition on the features of two items that holds for every similar pair. verify(pairs) keeps the similar ones
-    of distinct pairs (a, b).
+    a condition on the features of two items that holds for every similar pair. verify(pairs, features) keeps the
+    similar ones of distinct pairs (a, b); the columns named in hidden are for it alone.
     """
     dealt = keyed.select("key", "id").repartition("key")
     shared = dealt.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last")
     # Grouping and join read the same shuffle: both need rows of a key together, and nothing else.
     rows = written(dealt.join(shared.select("key", "pivot"), "key").distinct())
     found = written(features(rows.select("id").distinct()))
-    names = [c for c in found.columns if c != "id"]
+    names = [c for c in found.columns if c not in ("id", *hidden)]
     count = found.count()
 
     def with_features(df: DataFrame, ids: list[str]) -> DataFrame:
@@ -85,7 +86,7 @@ def link_groups(
 
     star = rows.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     star = with_features(star, ["a", "b"]).where(may_link(side("a"), side("b"))).select("a", "b")
-    first = written(verify(written(star)))
+    first = written(verify(written(star), found))
     group = connected(first)
 
     placed = rows.join(small(group), "id", "left").select("key", "pivot", "id", F.coalesce("root", "id").alias("root"))
@@ -94,5 +95,5 @@ def link_groups(
     rest = written(rest)
     other = rest.select("key", *[F.col(c).alias("b" + c.removeprefix("a")) for c in rest.columns if c.startswith("a")], F.col("root").alias("other_root"))
     pairs = rest.join(other, "key").where((F.col("root") != F.col("other_root")) & (F.col("a") < F.col("b")) & may_link(side("a"), side("b")))
-    second = written(verify(written(pairs.select("a", "b").distinct())))
+    second = written(verify(written(pairs.select("a", "b").distinct()), found))
     return connected(first.unionByName(second))
