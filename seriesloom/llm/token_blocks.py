@@ -46,7 +46,7 @@ def _pack(values: np.ndarray, width: int) -> bytes:
 
 
 def _unpack(raw: np.ndarray, width: int, block: int) -> np.ndarray:
-    bits = np.unpackbits(raw, axis=1).reshape(len(raw), -1, width)[:, :block]
+    bits = np.unpackbits(raw, axis=1)[:, : block * width].reshape(len(raw), block, width)
     size = 32 if width > 16 else 16
     wide = np.zeros((len(raw), block, size), dtype=np.uint8)
     wide[:, :, size - width :] = bits
@@ -111,20 +111,20 @@ def unpack_ids(data: bytes, only: int | None = None) -> np.ndarray:
 def write_token_blocks(
     docs: DataFrame, path: str, vocabulary: str = DEFAULT_VOCABULARY, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text"
 ) -> None:
-    """Encodes every text and writes segments (shard, segment, doc_ids, lengths, data) as Parquet under ``path``."""
+    """Encodes every text and writes segments (shard, segment, before, doc_ids, lengths, data) as Parquet under ``path``."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = library_encoder(vocabulary), int(end_id).to_bytes(4, "little")
         shard, segment = TaskContext.get().partitionId(), 0
-        keys, parts, held = [], [], 0
-        names = ["shard", "segment", "doc_ids", "lengths", "data"]
+        keys, parts, held, before = [], [], 0, 0
+        names = ["shard", "segment", "before", "doc_ids", "lengths", "data"]
         id_type = None
 
         def row() -> pa.RecordBatch:
             data = pack_ids(np.frombuffer(b"".join(parts), dtype="<u4"))
-            columns = [[shard], [segment], [keys], [[len(p) // 4 for p in parts]], [data]]
-            types = [pa.int32(), pa.int64(), pa.list_(id_type), pa.list_(pa.int64()), pa.binary()]
+            columns = [[shard], [segment], [before], [keys], [[len(p) // 4 for p in parts]], [data]]
+            types = [pa.int32(), pa.int64(), pa.int64(), pa.list_(id_type), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
         for b in batches:
@@ -135,14 +135,14 @@ def write_token_blocks(
                 held += len(ids) // 4 + 1
                 if held >= SEGMENT_IDS:
                     yield row()
-                    segment, keys, parts, held = segment + 1, [], [], 0
+                    segment, keys, parts, held, before = segment + 1, [], [], 0, before + held
         if keys:
             yield row()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     order = ["doc_id", F.xxhash64("text")]
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    dealt.mapInArrow(run, f"shard int, segment bigint, doc_ids array<{kind}>, lengths array<bigint>, data binary").write.parquet(path)
+    dealt.mapInArrow(run, f"shard int, segment bigint, before bigint, doc_ids array<{kind}>, lengths array<bigint>, data binary").write.parquet(path)
 
 
 def read_token_blocks(spark: SparkSession, path: str, digest_only: bool = False) -> DataFrame:
@@ -152,13 +152,9 @@ def read_token_blocks(spark: SparkSession, path: str, digest_only: bool = False)
     """
     table = spark.read.parquet(path)
     kind = table.schema["doc_ids"].dataType.elementType.simpleString()
-    sums = table.select("shard", F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n"), "segment")
-    # A row for each segment, not for each document: shard sums first, then places inside each shard.
-    shards = sums.groupBy("shard").agg(F.sum("n").alias("n"))
-    before = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("shard_start"))
-    inside = Window.partitionBy("shard").orderBy("segment")
-    places = sums.select("shard", "segment", (F.sum("n").over(inside) - F.col("n")).alias("segment_start"))
-    place = places.join(before, "shard").select("shard", "segment", (F.col("shard_start") + F.col("segment_start")).alias("at"))
+    # One row for each shard, of which there are as many as shuffle partitions: bounded, so it may be broadcast.
+    sums = table.select("shard", F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n")).groupBy("shard").agg(F.sum("n").alias("n"))
+    starts = sums.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("shard_start"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -175,5 +171,5 @@ def read_token_blocks(spark: SparkSession, path: str, digest_only: bool = False)
                 at = b.column("at")[k].as_py()
                 yield pa.RecordBatch.from_arrays([b.column("doc_ids")[k].values, pa.array(at + starts), pa.array(lengths), last], ["doc_id", "start", "n_tokens", "ids_crc32" if digest_only else "ids"])
 
-    placed = table.join(place, ["shard", "segment"]).select("doc_ids", "lengths", "data", "at")
+    placed = table.join(F.broadcast(starts), "shard").select("doc_ids", "lengths", "data", (F.col("shard_start") + F.col("before")).alias("at"))
     return placed.mapInArrow(run, f"doc_id {kind}, start bigint, n_tokens bigint, " + ("ids_crc32 bigint" if digest_only else "ids array<bigint>"))
