@@ -76,5 +76,42 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _words(table: str, key: str, pattern: str) -> str:
+    return f"SELECT {key}, coalesce(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{pattern}'), []) AS w FROM {table}"
+
+
+_ALNUM, _SPACE = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x20\x09-\x0D]+"
+
+_OP3 = f"""WITH d AS ({_words("documents", "doc_id", _ALNUM)}), i AS ({_words("benchmark", "item_id", _ALNUM)}),
+windows AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[k:k + 9], ' ') AS t FROM i, LATERAL (SELECT unnest(generate_series(1, greatest(1, len(w) - 9))) AS k) WHERE len(w) > 0),
+places AS (SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS t FROM d, (SELECT DISTINCT n FROM windows), LATERAL (SELECT unnest(generate_series(1, len(w) - n + 1)) AS k)),
+found AS (SELECT doc_id, n, k, item_id FROM places JOIN windows USING (n, t)),
+hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(k, k + n - 1)) AS p FROM (SELECT DISTINCT doc_id, n, k FROM found)) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS x FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM found) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(x, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+_OP9 = f"""WITH d AS ({_words("documents", "doc_id", _ALNUM)}),
+p AS (SELECT doc_id, CASE WHEN k > 1 THEN w[k - 1] END AS a, w[k] AS b FROM d, LATERAL (SELECT unnest(generate_series(1, len(w))) AS k)),
+n AS (SELECT count(*) AS words, greatest(2, ceil({ngram_scores.MIN_SHARE} * count(*))) AS least_words, greatest(2, ceil({ngram_scores.MIN_SHARE} * count(a))) AS least_pairs FROM p),
+one AS (SELECT b AS w, count(*) AS c FROM p GROUP BY 1 HAVING count(*) >= (SELECT least_words FROM n)),
+two AS (SELECT a, b, count(*) AS c FROM p WHERE a IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= (SELECT least_pairs FROM n)),
+s AS (SELECT doc_id, two.c IS NOT NULL AS seen, CASE WHEN two.c IS NOT NULL THEN ln(two.c) - ln(coalesce(x.c, 1)) ELSE ln(coalesce(y.c, 1)) - ln(words) + CASE WHEN p.a IS NULL THEN 0 ELSE ln({ngram_scores.ALPHA}) END END AS s
+  FROM p CROSS JOIN n LEFT JOIN two ON p.a = two.a AND p.b = two.b LEFT JOIN one x ON p.a = x.w LEFT JOIN one y ON p.b = y.w)
+SELECT d.doc_id, count(s) AS n_words, count(*) FILTER (seen) AS n_found, round(sum(s) / count(s), 6) AS score FROM d LEFT JOIN s USING (doc_id) GROUP BY 1"""
+
+_OP10 = f"""WITH RECURSIVE d AS ({_words("documents", "doc_id", _SPACE)}),
+sets AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 2], ' ') AS s FROM d, LATERAL (SELECT unnest(generate_series(1, greatest(1, len(w) - 2))) AS k) WHERE len(w) > 0),
+size AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY 1),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM sets x JOIN sets y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN size u ON a = u.doc_id JOIN size v ON b = v.doc_id WHERE 100 * pairs.n >= 90 * (u.n + v.n - pairs.n)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT reach.a AS doc_id, coalesce(max(size.n), 0) AS n_shingles, min(reach.b) AS component_id FROM reach LEFT JOIN size ON reach.a = size.doc_id GROUP BY 1"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL twins of the queries that SQL can say; tests hold the others against brute force, round trips or held-out labels."""
+    return {"op3_decontamination": _OP3, "op9_ngram_scores": _OP9, "op10_jaccard_join": _OP10}
