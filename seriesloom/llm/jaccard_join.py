@@ -12,8 +12,9 @@ so some part holds at most one difference; each part has three cells, and each
 choice of two cells is one signature, so two such sets share one.
 
 Sets of equal elements are one item, named by a 64-bit hash of the set; copies
-are never paired. Parity bitmaps of the elements, 512 bits, bound the difference
-of two sets from below, so that only likely pairs are checked on the sets.
+are never paired. Parity bitmaps of the elements, 512 bits and for large sets more,
+bound the difference of two sets from below, so that only likely pairs are
+checked on the sets.
 Null and empty texts have no set and link with nothing. Null ids are kept as a
 document; a group of only null ids has the null component. Rows that share an id
 have the id's component, with the smallest component if they differ.
@@ -35,6 +36,8 @@ from .text import WordHashes, mix, shingle_hashes, space_words
 SIZE = 3
 PERCENT = 90
 _LONGS = 8
+#: Sets with more elements have a wider bitmap too, of so many longs: the other one is full by then.
+_WIDER = ((2000, 64), (600, 16))
 _HASHES = WordHashes()
 
 
@@ -48,9 +51,9 @@ def set_name(elements: np.ndarray) -> int:
     return int(mix(mix(elements ^ np.uint64(0xA0761D6478BD642F)).sum(keepdims=True) + np.uint64(len(elements))).view(np.int64)[0])
 
 
-def parity_bits(elements: np.ndarray) -> np.ndarray:
-    """_LONGS x 64 bits; a bit is the parity of the elements that fall on it."""
-    odd = np.bincount((mix(elements ^ np.uint64(0x8BB84B93962EACC9)) % np.uint64(64 * _LONGS)).astype(np.int64), minlength=64 * _LONGS) & 1
+def parity_bits(elements: np.ndarray, longs: int = _LONGS) -> np.ndarray:
+    """That many times 64 bits; a bit is the parity of the elements that fall on it."""
+    odd = np.bincount((mix(elements ^ np.uint64(0x8BB84B93962EACC9)) % np.uint64(64 * longs)).astype(np.int64), minlength=64 * longs) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -100,7 +103,7 @@ def signatures(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarr
 
 
 def _described(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, id, n, bits): id null for documents without a set."""
+    """(doc_id, id, n, bits, wide): id null for documents without a set, wide null for sets that are not large."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,10 +111,12 @@ def _described(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFr
             sets = [element_set(t, size) for t in b.column(1).to_pylist()]
             names = [set_name(s) if len(s) else None for s in sets]
             bits = np.concatenate([np.zeros(0, np.int64), *[parity_bits(s) for s in sets]])
-            columns = [b.column(0), pa.array(names, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * _LONGS), pa.array(bits))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "id", "n", "bits"])
+            longs = [next((k for least, k in _WIDER if len(s) > least), 0) for s in sets]
+            wide = pa.array([parity_bits(s, k) if k else None for s, k in zip(sets, longs, strict=True)], pa.list_(pa.int64()))
+            columns = [b.column(0), pa.array(names, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * _LONGS), pa.array(bits)), wide]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "id", "n", "bits", "wide"])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, id bigint, n bigint, bits array<bigint>")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, id bigint, n bigint, bits array<bigint>, wide array<bigint>")
 
 
 def _keyed(docs: DataFrame, size: int, percent: int, text_col: str) -> DataFrame:
@@ -157,12 +162,17 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     classes = described.where("id is not null and doc_id is not null").select("id", "doc_id")
 
     def features(ids: DataFrame) -> DataFrame:
-        return described.join(ids, "id").groupBy("id").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+        return described.join(ids, "id").groupBy("id").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("wide").alias("wide"))
 
     def may_link(left, right):
-        differing = sum((F.bit_count(left("bits")[k].bitwiseXOR(right("bits")[k])) for k in range(_LONGS)), F.lit(0))
-        sizes = left("n") + right("n")
-        return (F.least(left("n"), right("n")) * 100 >= F.greatest(left("n"), right("n")) * percent) & (differing * (100 + percent) <= sizes * (100 - percent))
+        def differing(name: str, longs: int):
+            return sum((F.bit_count(left(name)[k].bitwiseXOR(right(name)[k])) for k in range(longs)), F.lit(0))
+
+        limit = (left("n") + right("n")) * (100 - percent)
+        few = differing("bits", _LONGS)
+        for _, k in _WIDER:  # bitmaps of one size; a missing one has the size -1 or null
+            few = F.when((F.size(left("wide")) == k) & (F.size(right("wide")) == k), differing("wide", k)).otherwise(few)
+        return (F.least(left("n"), right("n")) * 100 >= F.greatest(left("n"), right("n")) * percent) & (few * (100 + percent) <= limit)
 
     def verify(pairs: DataFrame, _: DataFrame) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -172,7 +182,7 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
         common = F.size(F.array_intersect("x", "y"))
         return both.where(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("a", "b")
 
-    groups = link_groups(_keyed(docs, size, percent, text_col), features, may_link, verify)
+    groups = link_groups(_keyed(docs, size, percent, text_col), features, may_link, verify, width=192)
     placed = described.join(small(groups), "id", "left").select("doc_id", "n", F.coalesce("root", "id").alias("root"))
     lowest = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     return placed.join(lowest, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))

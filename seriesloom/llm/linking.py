@@ -21,14 +21,15 @@ from pyspark.sql import functions as F
 
 from .shared import written
 
-#: Ids that may be broadcast: 16 MB of longs. Above that, joins shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Tables up to this size may be broadcast; above it, joins shuffle.
+BROADCAST_BYTES = 16_000_000
 
 
-def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """With a broadcast hint if the counted rows are within the bound; df must be cheap to count, such as a written table."""
+def small(df: DataFrame, rows: int | None = None, width: int = 16) -> DataFrame:
+    """With a broadcast hint if the counted rows, of so many bytes each, are within the bound; df must be cheap to count,
+    such as a written table."""
     n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+    return F.broadcast(df) if n * width <= BROADCAST_BYTES else df
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -60,12 +61,14 @@ def link_groups(
     may_link: Callable[[Callable[[str], Column], Callable[[str], Column]], Column],
     verify: Callable[[DataFrame, DataFrame], DataFrame],
     hidden: tuple[str, ...] = (),
+    width: int = 128,
 ) -> DataFrame:
     """(id, root) of all items in groups of two or more.
 
     keyed: (key, id), possibly with repeats. features(ids) gives (id, more columns) of a table of ids. may_link(l, r) is
     a condition on the features of two items that holds for every similar pair. verify(pairs, features) keeps the
-    similar ones of distinct pairs (a, b); the columns named in hidden are for it alone.
+    similar ones of distinct pairs (a, b); the columns named in hidden are for it alone. width: bytes of a
+    row of the other features.
     """
     dealt = keyed.select("key", "id").repartition("key")
     shared = dealt.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last")
@@ -77,7 +80,7 @@ def link_groups(
 
     def with_features(df: DataFrame, ids: list[str]) -> DataFrame:
         for c in ids:
-            one = small(found, count).select(F.col("id").alias(c), *[F.col(n).alias(f"{c}_{n}") for n in names])
+            one = small(found.drop(*hidden), count, width).select(F.col("id").alias(c), *[F.col(n).alias(f"{c}_{n}") for n in names])
             df = df.join(one, c)
         return df
 

@@ -162,6 +162,12 @@ def test_components_with_a_large_group_of_near_copies(spark, size, percent):
             w[rnd.randrange(len(w))] = "n" + str(rnd.randrange(10**6))
         rows.append((k, " ".join(w)))
     rows += [(k, " ".join(rnd.choice("abcd") for _ in range(rnd.randrange(1, 9)))) for k in range(160, 260)]
+    large = [f"w{rnd.randrange(5000)}" for _ in range(640)]
+    for k in range(260, 300):  # around the size from which sets have a wide bitmap
+        w = large[: rnd.randrange(560, 641)]
+        for _ in range(rnd.choice([0, 2, 5, 9, 15])):
+            w[rnd.randrange(len(w))] = f"n{rnd.randrange(10**6)}"
+        rows.append((k, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
     got = {r[0]: (r[1], r[2]) for r in jaccard_join.jaccard_components(df, size, percent).collect()}
     want = jaccard_by_hand(rows, size, percent)
