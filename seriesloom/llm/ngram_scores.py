@@ -1,16 +1,20 @@
 """Stupid-backoff scores of documents by joins of n-gram counts.
 
 Counts of words and of word pairs come from the whole corpus, as grouped tables
-hashed by n-gram. N-grams that make up less than ``min_share`` of all, or that
-are seen once, are pruned, so a table has at most 1 / min_share rows whatever
-the corpus: a proven bound, five million here, within which it is broadcast. A word after another scores log(c(pair) / c(first word)) if the pair is in
-the table, else log(alpha * c(word) / N); a document's first word scores
-log(c(word) / N). Documents sum up their distinct pairs, exploded and joined to
-the tables. Words are runs of letters, digits and non-ASCII characters, A-Z
-lower-cased, named by 64-bit hashes.
-
-Counting sums up in each task before its shuffle, so a frequent pair is a row for
-each task at most, and the exploded side is not shuffled at all.
+hashed by n-gram. Every word count is used, and every pair that occurs twice or
+more, whatever the size of the corpus. A word after another scores
+log(c(pair) / c(first word)) if the pair is in the table, else
+log(alpha * c(word) / N); a document's first word scores log(c(word) / N). Words
+are runs of letters, digits and non-ASCII characters, A-Z lower-cased, named by
+64-bit hashes.
+
+The most frequent n-grams, ``HOT_ROWS`` of a table at most, are broadcast and
+looked up while a document is read; what they settle is summed up at once, so
+frequent n-grams are never shuffled. The other pairs of a document are a row
+each and meet the rest of the tables in shuffle joins; a key of those has few
+rows, because it is not among the frequent ones. Where a row is settled does not
+change its value.
+
 Documents without words have n_words 0 and a null score. Rows that share an id
 are scored as one document, null ids too.
 """
@@ -22,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +34,17 @@ from .shared import written
 from .text import WordHashes, alnum_words, mix
 
 ALPHA = 0.4
+#: Pairs under this count are unseen.
+LEAST_PAIRS = 2
+#: The SQL twin's share below which n-grams are dropped: no more than those seen once, up to ten million. Not used here.
 MIN_SHARE = 2e-7
+#: Rows of a count table that are broadcast at most.
+HOT_ROWS = 1_000_000
+#: With this, a write drops its shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Columns of the rows; those that are alike in a run stand together, so that a shuffle packs them.
+FOUND = ["words", "found", "base", "settled", "doc_id", "pair", "gain"]
+RARE = ["start", "first_c", "word_c", "doc_id", "first", "word", "pair"]
 _HASHES = WordHashes()
 
 
@@ -50,54 +65,131 @@ def _counted(docs: DataFrame, order: int, text_col: str) -> DataFrame:
     return docs.select(F.col(text_col)).mapInArrow(run, "gram bigint, n bigint")
 
 
-def count_table(docs: DataFrame, order: int, min_share: float = MIN_SHARE, text_col: str = "text") -> tuple[DataFrame, int]:
-    """((gram, c), total): the hashed n-grams of the whole corpus with at least that share of all and two occurrences.
-
-    All counts are written, partitioned by hash; what is given back reads them.
+def count_table(docs: DataFrame, order: int, least: int = 1, text_col: str = "text") -> DataFrame:
+    """(gram, c): the hashed n-grams of the whole corpus with at least that count, written partitioned by hash."""
+    counts = _counted(docs, order, text_col).groupBy("gram").agg(F.sum("n").alias("c"))
+    conf, before = docs.sparkSession.conf, docs.sparkSession.conf.get(CLEANUP)
+    conf.set(CLEANUP, "true")  # the written table is all that is needed from here on
+    try:
+        return written(counts.where(F.col("c") >= least))
+    finally:
+        conf.set(CLEANUP, before)
+
+
+def _split(counts: DataFrame, rows: int) -> tuple[tuple[np.ndarray, np.ndarray], DataFrame | None]:
+    """(n-grams, counts) of the most frequent ones, sorted, at most so many; the others that occur twice or more, if any."""
+    step = F.floor(4 * F.log2("c")).cast("int")
+    size = {r[0]: r[1] for r in counts.where("c >= 2").groupBy(step.alias("step")).count().collect()}
+    least, n = max(size, default=0) + 1, 0
+    for k in sorted(size, reverse=True):
+        n += size[k]
+        if n > rows:
+            break
+        least = k
+    some = counts.where("c >= 2")
+    top = some.where(step >= least).toArrow()
+    gram, c = (top.column(k).to_numpy() for k in (0, 1))
+    at = np.argsort(gram.view(np.uint64))
+    return (gram.view(np.uint64)[at], c[at]), None if least <= min(size, default=0) or not size else some.where(step < least)
+
+
+def _counts(grams: np.ndarray, table: tuple[np.ndarray, np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(counts, their logarithms); least where the table has none, with logarithm 0."""
+    names, c = table
+    known, place = np.unique(grams, return_inverse=True)
+    count = np.full(len(known), least, np.int64)
+    if len(names):
+        at = np.minimum(np.searchsorted(names, known), len(names) - 1)
+        count = np.where(names[at] == known, c[at], least)
+    return count[place], np.log(np.maximum(count, 1).astype(float))[place]
+
+
+def _rows(docs: DataFrame, hot: Broadcast, total: int, alpha: float, rare: bool, complete: tuple[bool, bool], id_col: str, text_col: str) -> DataFrame:
+    """Of each document one summary of what the broadcast tables settle, and a row for each other pair whose words they
+    have; or (rare) a row for each pair, or first word, with a word that they lack.
+
+    complete: the tables of words and of pairs lack only what counts as seen once and as unseen.
+    base is the score of the occurrences without their pair, gain what log c(pair) is added to if the pair is found.
     """
-    counts = written(_counted(docs, order, text_col).groupBy("gram").agg(F.sum("n").alias("c")))
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    return counts.where(F.col("c") >= max(2, math.ceil(min_share * total))), total
-
-
-def _exploded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, pair, first, word, tf) per distinct pair of a document; its first word with pair and first null;
-    a document without words as one row of tf 0."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind, log_n, log_a = docs.schema[id_col].dataType.simpleString(), math.log(max(total, 1)), math.log(alpha)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, pairs = hot.value
         for b in batches:
             texts = b.column(1).to_pylist()
             for k in range(0, len(texts), 500):
-                rows: list[list[np.ndarray]] = [[], [], [], [], [], []]
-                for d, t in enumerate(texts[k : k + 500], start=k):
-                    h = _HASHES.of(alnum_words(t))
-                    pair, at, tf = np.unique(_pairs(h), return_index=True, return_counts=True) if len(h) > 1 else (h[:0], np.zeros(0, np.int64), np.zeros(0, np.int64))
-                    none = np.zeros(1, np.uint64)  # numpy makes floats of signed and unsigned integers together
-                    lone = h[:1] if len(h) else none
-                    for column, one, many in zip(rows, ([d], none, none, lone, [min(len(h), 1)], [True]), (np.full(len(pair), d), pair, h[at], h[at + 1], tf, np.zeros(len(pair), bool)), strict=True):
-                        column += [np.asarray(one), many]
-                doc, pair, first, word, tf, start = (np.concatenate(c) for c in rows)
-                columns = [b.column(0).take(pa.array(doc.astype(np.int64))), pa.array(pair.view(np.int64), mask=start), pa.array(first.view(np.int64), mask=start), pa.array(word.view(np.int64), mask=start & (tf == 0)), pa.array(tf.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "pair", "first", "word", "tf"])
-
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, pair bigint, first bigint, word bigint, tf bigint")
-
-
-def backoff_scores(docs: DataFrame, corpus: DataFrame | None = None, alpha: float = ALPHA, min_share: float = MIN_SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                hashed = [_HASHES.of(alnum_words(t)) for t in texts[k : k + 500]]
+                size = np.array([len(x) for x in hashed])
+                h, doc = np.concatenate(hashed), np.repeat(np.arange(len(hashed)), size)
+                count, log = _counts(h, words, 1 if complete[0] else 0)
+                begin = (np.cumsum(size) - size)[size > 0]
+                at = np.flatnonzero(doc[1:] == doc[:-1])
+                lacks = (count[at] == 0) | (count[at + 1] == 0)
+                pair = _pairs(h)[at] if len(h) else h
+                if rare:
+                    at, pair, begin = at[lacks], pair[lacks], begin[count[begin] == 0]
+                    first, word = np.r_[begin, at], np.r_[begin, at + 1]
+                    columns = [np.arange(len(first)) < len(begin), count[first], count[word], doc[first], h[first], h[word], np.r_[h[begin], pair]]
+                else:
+                    at, pair = at[~lacks], pair[~lacks]
+                    back = log[at + 1] - log_n + log_a
+                    gain = -log[at] - back
+                    got, log_got = _counts(pair, pairs, 0)
+                    base = np.bincount(doc[at], back + np.where(got > 0, log_got + gain, 0.0), len(hashed)).astype(float)  # of none it makes integers
+                    begin = begin[count[begin] > 0]
+                    base[doc[begin]] += log[begin] - log_n
+                    left = np.zeros(len(pair), bool) if complete[1] else got == 0
+                    n, many = len(hashed), int(left.sum())
+                    key = mix(np.arange(n, dtype=np.uint64) + size.astype(np.uint64))  # anything that spreads
+                    columns = [np.r_[size, np.zeros(many, np.int64)], np.r_[np.bincount(doc[at][got > 0], minlength=n), np.zeros(many, np.int64)], np.r_[base, np.zeros(many)], np.arange(n + many) < n, np.r_[np.arange(n), doc[at][left]], np.r_[key, pair[left]], np.r_[np.zeros(n), gain[left]]]
+                names = RARE if rare else FOUND
+                columns = [pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns]
+                of = names.index("doc_id")
+                columns[of] = b.column(0).take(pa.array(columns[of].to_numpy() + k))
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    kinds = {"doc_id": kind, "base": "double", "gain": "double", "settled": "boolean", "start": "boolean"}
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, ", ".join(f"{c} {kinds.get(c, 'bigint')}" for c in (RARE if rare else FOUND)))
+
+
+def _with_rare_words(rows: DataFrame, rare: DataFrame, total: int, alpha: float) -> DataFrame:
+    """The rows with a word that was not broadcast, as the other rows are; what the table lacks too counts as seen once."""
+    lacks_first = (F.col("first_c") == 0) & ~F.col("start")
+    both = lacks_first & (F.col("word_c") == 0)
+    table = rare.select(F.col("gram").alias("key"), F.col("c").alias("key_c"))
+    got = F.coalesce("key_c", F.lit(1))
+    # No frequent word is a key; the second key is a pair, which no table of words has, where one word was missing.
+    rows = rows.withColumn("key", F.when(lacks_first, F.col("first")).otherwise(F.col("word"))).join(table, "key", "left")
+    rows = rows.select("start", F.when(lacks_first, got).otherwise(F.col("first_c")).alias("first_c"), F.when(lacks_first, F.col("word_c")).otherwise(got).alias("word_c"), "doc_id", "pair", F.when(both, F.col("word")).otherwise(F.col("pair")).alias("key"))
+    rows = rows.join(table, "key", "left")
+    word = F.log(F.when(F.col("word_c") == 0, got).otherwise(F.col("word_c")).cast("double")) - math.log(max(total, 1))
+    back = F.when(F.col("start"), word).otherwise(word + math.log(alpha))
+    zero = F.lit(0).cast("bigint")
+    return rows.select(zero.alias("words"), zero.alias("found"), back.alias("base"), F.col("start").alias("settled"), "doc_id", "pair", (-F.log(F.col("first_c").cast("double")) - back).alias("gain"))
+
+
+def backoff_scores(docs: DataFrame, corpus: DataFrame | None = None, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text", hot_rows: int = HOT_ROWS) -> DataFrame:
     """(doc_id, n_words, n_found, log_score, score): score is the mean of the words; corpus: the documents themselves.
 
-    A word that its table lacks counts as seen once.
+    A word that its table lacks counts as seen once. hot_rows says how much of a table is broadcast; results don't depend on it.
     """
     corpus = docs if corpus is None else corpus
-    (words, total), (pairs, _) = count_table(corpus, 1, min_share, text_col), count_table(corpus, 2, min_share, text_col)
-    pairs = F.broadcast(pairs.select(F.col("gram").alias("pair"), F.col("c").alias("pair_c")))  # at most 1 / min_share rows
-    found = _exploded(docs, id_col, text_col).join(pairs, "pair", "left")
-    seen = F.col("pair_c").isNotNull()
-    found = found.select("doc_id", "tf", "pair_c", F.when(seen, F.col("first")).otherwise(F.col("word")).alias("gram"), F.col("pair").isNull().alias("start"))
-    found = found.join(F.broadcast(words), "gram", "left")  # as few
-    count = F.log(F.coalesce("c", F.lit(1)).cast("double"))
-    back = count - F.lit(math.log(max(total, 1))) + F.when(F.col("start"), F.lit(0.0)).otherwise(F.log(F.lit(float(alpha))))
-    each = F.when(F.col("tf") == 0, F.lit(0.0)).otherwise(F.col("tf") * F.when(seen, F.log(F.col("pair_c").cast("double")) - count).otherwise(back))
-    sums = found.groupBy("doc_id").agg(F.sum("tf").alias("n_words"), F.sum(F.when(seen, F.col("tf")).otherwise(0)).alias("n_found"), F.sum(each).alias("log_score"))
+    words, pairs = count_table(corpus, 1, 1, text_col), count_table(corpus, 2, LEAST_PAIRS, text_col)
+    total = words.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    (hot_words, rare_words), (hot_pairs, rare_pairs) = _split(words, hot_rows), _split(pairs, hot_rows)
+    hot = docs.sparkSession.sparkContext.broadcast((hot_words, hot_pairs))
+    complete = rare_words is None, rare_pairs is None
+    found = _rows(docs, hot, total, alpha, False, complete, id_col, text_col)
+    if rare_words is not None:
+        found = found.unionByName(_with_rare_words(_rows(docs, hot, total, alpha, True, complete, id_col, text_col), rare_words, total, alpha))
+    # Rows with rare words were not looked up among the broadcast pairs.
+    rest = pairs if rare_words is not None else rare_pairs
+    if rest is None:
+        found = found.withColumn("c", F.lit(None).cast("bigint"))
+    else:
+        found = found.join(rest.select(F.col("gram").alias("pair"), "c"), "pair", "left")
+    seen = F.col("c").isNotNull() & ~F.col("settled")
+    found = found.where(seen | F.col("settled") | (F.col("base") != 0))
+    more = F.when(seen, F.log(F.col("c").cast("double")) + F.col("gain")).otherwise(0.0)
+    sums = found.groupBy("doc_id").agg(F.sum("words").alias("n_words"), F.sum(F.col("found") + seen.cast("bigint")).alias("n_found"), F.sum(F.col("base") + more).alias("log_score"))
     return sums.withColumn("score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))

@@ -307,6 +307,31 @@ def test_backoff_scores_as_by_hand(spark):
         assert got[k]["score"] == (pytest.approx(s / len(ws)) if ws else None)
 
 
+@pytest.mark.parametrize("hot_rows", [0, 3, 10, 10**6])
+def test_scores_use_rare_counts_whatever_is_broadcast(spark, hot_rows):
+    rnd = random.Random(3)
+    rows = [(k, " ".join(f"w{min(int(rnd.paretovariate(0.6)), 60)}" for _ in range(rnd.randrange(40)))) for k in range(40)]
+    words = [t.split() for _, t in rows]
+    one, two = Counter(w for ws in words for w in ws), Counter(p for ws in words for p in zip(ws, ws[1:]))
+    df, total = spark.createDataFrame(rows, "doc_id bigint, text string"), sum(one.values())
+    got = {r["doc_id"]: r for r in ngram_scores.backoff_scores(df, hot_rows=hot_rows).collect()}
+    for k, ws in enumerate(words):
+        pairs = list(zip(ws, ws[1:]))
+        s = sum(math.log(one[w] / total) for w in ws[:1])
+        s += sum(math.log(two[p] / one[p[0]]) if two[p] >= 2 else math.log(0.4 * one[p[1]] / total) for p in pairs)
+        assert (got[k]["n_words"], got[k]["n_found"]) == (len(ws), sum(two[p] >= 2 for p in pairs))
+        assert got[k]["log_score"] == pytest.approx(s)
+
+
+def test_scores_do_not_prune_by_the_size_of_the_corpus(spark):
+    filler = spark.range(2_000).select((F.col("id") + 10).alias("doc_id"), F.repeat(F.lit("the the "), 4000).alias("text"))
+    two = spark.createDataFrame([(1, "rare pair"), (2, "rare pair")], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in ngram_scores.backoff_scores(two, corpus=filler.unionByName(two)).collect()}
+    for k in (1, 2):  # 16 million words: a share of all would cut at 4
+        assert got[k]["n_found"] == 1
+        assert got[k]["log_score"] == pytest.approx(math.log(2 / (2_000 * 8_000 + 4)))
+
+
 def test_scores_of_odd_rows(odd, none):
     got = ngram_scores.backoff_scores(odd).collect()
     assert Counter(r["doc_id"] for r in got) == Counter([*range(len(TEXTS)), None])
