@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Phrase and label of the base rules.
@@ -182,14 +183,24 @@ def _kept(found: Column) -> Column:
     return F.aggregate(ordered, begin, step)["kept"]
 
 
+#: Keywords that stand inside many words; their families' names also match this.
+SHORT = ("mit", "cc", "isc", "php", "perl", "rail", "ruby", "json", "mpl")
+_SHORT_NAMES = r"(?<![a-z0-9])(?:cc[^a-z0-9]+by|mpl|open[^a-z0-9]*rail|same[^a-z0-9]+terms)"
+
+
+def _gate(lower: Column) -> Column:
+    """Whether a lower-case text may have a name of a family. Between the words of a keyword may stand anything that the
+    normalised text has a space for; its first word is looked for before."""
+    loose = sorted({k for _, k, _ in FAMILIES if k not in SHORT and "licen" not in k})
+    several = [lower.contains(k.split(" ")[0]) & lower.rlike(k.replace(" ", _BETWEEN)) for k in loose if " " in k]
+    short = _any([lower.contains(k) for k in ("cc", "mpl", "rail", "terms")]) & lower.rlike(_SHORT_NAMES)
+    return _any([lower.contains("licen"), *[lower.contains(k) for k in loose if " " not in k], *several, short])
+
+
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections) for every row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    lower = F.lower("text")
-    loose = sorted({k for _, k, _ in FAMILIES if k not in ("mit", "cc", "isc", "php", "perl", "rail", "ruby", "json", "mpl")})
-    # Short keywords stand inside many words; their families' names also have one of these.
-    short = [lower.rlike(r"(?<![a-z0-9])(?:cc[^a-z0-9]+by|mpl|open ?rail|same[^a-z]+terms)") & (lower.contains("cc") | lower.contains("mpl") | lower.contains("rail") | lower.contains("terms"))]
-    gate = _any([lower.contains("licen"), *[lower.contains(k) for k in loose if "licen" not in k], *short])
+    gate = _gate(F.lower("text"))
     rows = rows.select("doc_id", F.regexp_count("text", F.lit(_WORD)).cast("bigint").alias("n_words"), F.when(gate, F.col("text")).alias("text"))
     joined = F.array_join(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)), " ")
     norm = F.when(F.col("text").isNotNull(), F.concat(F.lit(" "), F.translate(joined, _UPPER, _LOWER), F.lit(" ")))

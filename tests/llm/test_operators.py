@@ -286,6 +286,22 @@ def test_longer_detections_hold_shorter_ones(spark, given, labels, spans):
     assert [(d["start"], d["stop"], d["label"]) for d in r["detections"]] == spans
 
 
+def test_the_gate_hides_no_license(spark, docs, monkeypatch):
+    given = {
+        "All rights\nreserved": "proprietary", "Creative  Commons Attribution 4.0": "cc-by", "placed in the public-domain": "public-domain",
+        "Redistribution and\nuse in source and binary forms, with or without modification, are permitted": "bsd", "Open-RAIL": "openrail",
+        "the same\t2 terms; the same\nterms as Perl": "perl", "an all\x01rights*reserved text": "proprietary", "CC\u00a0 BY": "",
+    }
+    names = [re.sub(r"\(\?:|\)|\?", "", names.split("|")[0]) for _, _, names in license_scan.FAMILIES]
+    rows = [*enumerate(given), *[(100 + k, f"x {s.join(n.upper().split(' '))} y") for k, (n, s) in enumerate((n, s) for n in names for s in ("\n", " - "))]]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").unionByName(docs.where("doc_id % 20 = 0").select(F.col("doc_id") + 10**6, "text").toDF("doc_id", "text")).repartition(4)
+    passed = {r[0] for r in df.where(license_scan._gate(F.lower("text"))).select("doc_id").collect()}
+    monkeypatch.setattr(license_scan, "_gate", lambda lower: F.lit(True))
+    found = {r[0]: r[1] for r in license_scan.scan_licenses(df).select("doc_id", "labels").collect()}
+    assert [found[k] for k in range(len(given))] == list(given.values())
+    assert {k for k, x in found.items() if x} <= passed
+
+
 def test_hundreds_of_signatures():
     assert len(license_scan.FAMILIES) * len(license_scan.FORMS) > 300
 
