@@ -6,7 +6,9 @@ Items that may be similar share at least one key. Two rounds find every group:
    item and key, so a key with many items gives as many rows, not their pairs.
 2. What is in one group by then needs no more comparing. Only keys whose items are
    still in different groups are joined with themselves, on items of different
-   groups that pass a cheap test which no similar pair fails.
+   groups that pass a cheap test which no similar pair fails. This is quadratic in
+   the groups that stay on one key: callers make keys that unrelated items do not
+   share.
 
 Both rounds drop a pair only by such a test or by the exact check, so the groups
 are those of all similar pairs.
@@ -19,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import Scratch
 
 #: Tables up to this size may be broadcast; above it, joins shuffle.
 BROADCAST_BYTES = 16_000_000
@@ -35,10 +37,12 @@ def small(df: DataFrame, rows: int | None = None, width: int = 16) -> DataFrame:
 def connected(edges: DataFrame) -> DataFrame:
     """(id, root) for every id in the edges (a, b): root is the smallest id that links reach.
 
-    Alternates large-star and small-star steps until nothing changes; every step is a grouped minimum and a join, so
-    no neighbourhood is held by one task. Each round is written to the shared folder.
+    Alternates large-star and small-star steps until nothing changes. A minimum is taken with partial sums in each task;
+    the join that follows it is a plain one, so the rows of a hub are split where adaptive execution finds it skewed.
+    Each round is written to the shared folder, and the round before it deleted.
     """
-    now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
+    scratch = Scratch(edges.sparkSession)
+    now = scratch.write(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
     state = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -46,7 +50,8 @@ def connected(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = written(low.select("u", F.col("m").alias("v")).unionByName(moved).distinct())
+        before, now = now, scratch.write(low.select("u", F.col("m").alias("v")).unionByName(moved).distinct())
+        scratch.drop(before)
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == state or not seen[0]:
             break
@@ -70,11 +75,12 @@ def link_groups(
     similar ones of distinct pairs (a, b); the columns named in hidden are for it alone. width: bytes of a
     row of the other features.
     """
+    scratch = Scratch(keyed.sparkSession)
     dealt = keyed.select("key", "id").repartition("key")
     shared = dealt.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last")
     # Grouping and join read the same shuffle: both need rows of a key together, and nothing else.
-    rows = written(dealt.join(shared.select("key", "pivot"), "key").distinct())
-    found = written(features(rows.select("id").distinct()))
+    rows = scratch.write(dealt.join(shared.select("key", "pivot"), "key").distinct())
+    found = scratch.write(features(rows.select("id").distinct()))
     names = [c for c in found.columns if c not in ("id", *hidden)]
     count = found.count()
 
@@ -88,15 +94,16 @@ def link_groups(
         return lambda name: F.col(f"{c}_{name}")
 
     star = rows.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    star = with_features(star, ["a", "b"]).where(may_link(side("a"), side("b"))).select("a", "b")
-    first = written(verify(written(star), found))
-    group = connected(first)
+    star = scratch.write(with_features(star, ["a", "b"]).where(may_link(side("a"), side("b"))).select("a", "b"))
+    first = scratch.write(verify(star, found))
+    group = scratch.write(connected(first))
 
     placed = rows.join(small(group), "id", "left").select("key", "pivot", "id", F.coalesce("root", "id").alias("root"))
     open_keys = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-    rest = with_features(placed.join(open_keys, "key").where("id != pivot").withColumnRenamed("id", "a"), ["a"])
-    rest = written(rest)
+    rest = scratch.write(with_features(placed.join(open_keys, "key").where("id != pivot").withColumnRenamed("id", "a"), ["a"]))
     other = rest.select("key", *[F.col(c).alias("b" + c.removeprefix("a")) for c in rest.columns if c.startswith("a")], F.col("root").alias("other_root"))
     pairs = rest.join(other, "key").where((F.col("root") != F.col("other_root")) & (F.col("a") < F.col("b")) & may_link(side("a"), side("b")))
-    second = written(verify(written(pairs.select("a", "b").distinct()), found))
-    return connected(first.unionByName(second))
+    pairs = scratch.write(pairs.select("a", "b").distinct())
+    out = connected(scratch.write(first.unionByName(verify(pairs, found))))
+    scratch.drop()  # what connected returns is its own table
+    return out

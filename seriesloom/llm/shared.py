@@ -7,11 +7,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: With this, a write drops its shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new path under ``spark.checkpoint.dir``; only where that is unset, as in local tests, under a temporary folder."""
+    """A new path under ``spark.checkpoint.dir``. Where that is unset, a local session, as in tests, gets a temporary
+    folder; on a cluster that is an error, since executors would each write to a disk of their own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="seriesloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/seriesloom-{uuid.uuid4().hex}"
@@ -19,6 +25,31 @@ def shared_folder(spark: SparkSession) -> str:
 
 def written(df: DataFrame) -> DataFrame:
     """Writes a table to the shared folder and reads it: cuts lineage in a way that survives lost executors."""
-    spark, path = df.sparkSession, shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).write(df)
+
+
+class Scratch:
+    """Written tables of one operator. ``drop`` deletes those that no lazy result reads any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.tables = spark, shared_folder(spark), []
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path, conf = f"{self.root}/{len(self.tables)}", self.spark.conf
+        before = conf.get(CLEANUP)
+        conf.set(CLEANUP, "true")  # the written table is all that is needed from here on
+        try:
+            df.write.parquet(path)
+        finally:
+            conf.set(CLEANUP, before)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((out, path))
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes these tables; without arguments all."""
+        gone = [path for df, path in self.tables if not tables or any(df is t for t in tables)]
+        jvm = self.spark.sparkContext._jvm
+        for path in gone:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -176,6 +176,40 @@ def test_components_with_a_large_group_of_near_copies(spark, size, percent):
     assert {r[0] for r in kept.collect()} == {i for i, (_, c) in want.items() if c == i}
 
 
+@pytest.mark.parametrize(("percent", "size"), [(80, 6), (80, 60), (80, 200), (80, 800), (80, 5000), (90, 12), (90, 200), (90, 3000)])
+def test_unrelated_sets_share_no_signature_and_similar_sets_share_one(percent, size):
+    rnd = np.random.default_rng(size)
+    draw = lambda n: np.sort(rnd.integers(0, 2**63, n, dtype=np.int64).view(np.uint64))
+    sets = [draw(size + k % 5) for k in range(300)]
+    place, sig = jaccard_join.signatures(sets, percent)
+    names, times = np.unique(np.unique(np.c_[sig, place], axis=0)[:, 0], return_counts=True)
+    assert times.max() == 1
+    k = jaccard_join.scheme(int(np.searchsorted(jaccard_join.bands(size, percent), size)), percent)[0]
+    assert len(sig) < 300 * 4 * (k + 3)
+    for s in sets[:100]:  # as far apart as links may be: elements go, come, or both
+        allowed = int(len(s) * (100 - percent) / 100)
+        come = int(rnd.integers(0, allowed // 2 + 1))
+        go = int(allowed - come * percent / 100 - 1)
+        t = np.sort(np.r_[rnd.permutation(s)[max(go, 0) :], draw(come)])
+        common = len(np.intersect1d(s, t))
+        if common * 100 >= percent * (len(s) + len(t) - common):
+            both = [set(jaccard_join.signatures([x], percent)[1].tolist()) for x in (s, t)]
+            assert both[0] & both[1] or np.array_equal(s, t)
+
+
+def test_links_through_a_row_without_id_and_rows_that_repeat(spark):
+    w = [f"w{k}" for k in range(60)]
+    texts = [" ".join(w[:60]), " ".join(w[2:60]), " ".join(w[4:60])]  # the first and the last are linked by the middle only
+    schema = "doc_id bigint, text string, `x.y` int, id int, kept int"
+    rows = [(5, texts[0], 1, 1, 1), (None, texts[1], 2, 2, 2), (9, texts[2], 3, 3, 3), (9, texts[2], 3, 3, 3), (9, "another text of its own here", 4, 4, 4), (None, "lonely", 5, 5, 5), (None, "lonely", 6, 6, 6), (None, None, 7, 7, 7), (3, "twice twice", 8, 8, 8), (3, "twice twice", 8, 8, 8), (4, "Twice twice", 9, 9, 9)]
+    df = spark.createDataFrame(rows, schema).repartition(3)
+    got = sorted((str(r[0]), r[1], str(r[2])) for r in jaccard_join.jaccard_components(df, 3, 95).collect())
+    assert got == sorted([("5", 58, "5"), ("None", 56, "5"), ("9", 54, "5"), ("9", 54, "5"), ("9", 4, "9"), ("None", 1, "None"), ("None", 1, "None"), ("None", 0, "None"), ("3", 1, "3"), ("3", 1, "3"), ("4", 1, "3")])
+    kept = jaccard_join.drop_near_copies(df, 3, 95)
+    assert kept.columns == df.columns
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(5, texts[0]), (9, "another text of its own here"), (None, "lonely"), (None, None), (3, "twice twice")])
+
+
 def test_components_of_a_long_chain(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 101), (103, 102)]
     random.Random(2).shuffle(edges)
