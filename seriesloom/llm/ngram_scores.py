@@ -1,19 +1,22 @@
 """Stupid-backoff scores of documents by joins of n-gram counts.
 
-Counts of words and of word pairs come from the whole corpus, as grouped tables
-hashed by n-gram. Every word count is used, and every pair that occurs twice or
-more, whatever the size of the corpus. A word after another scores
-log(c(pair) / c(first word)) if the pair is in the table, else
-log(alpha * c(word) / N); a document's first word scores log(c(word) / N). Words
-are runs of letters, digits and non-ASCII characters, A-Z lower-cased, named by
-64-bit hashes.
-
-The most frequent n-grams, ``HOT_ROWS`` of a table at most, are broadcast and
-looked up while a document is read; what they settle is summed up at once, so
-frequent n-grams are never shuffled. The other pairs of a document are a row
-each and meet the rest of the tables in shuffle joins; a key of those has few
-rows, because it is not among the frequent ones. Where a row is settled does not
-change its value.
+The counts of all n-grams of 1 to ``order`` words come from the whole corpus, as
+one grouped table hashed by n-gram: every n-gram counts, however rare and however
+large the corpus. A word after its context scores log(c(n-gram) / c(context)); an
+n-gram that the corpus lacks backs off to the next shorter one at the price of
+log(alpha), and a single word to log(c(word) / N), where a word that the corpus
+lacks counts as seen once. At a document's start contexts are as long as there
+are words. Words are runs of letters, digits and non-ASCII characters, A-Z
+lower-cased, named by 64-bit hashes.
+
+Where documents are scored by their own corpus no n-gram is missing, and a
+document's score is a plain sum: the logarithms of the counts of its longest
+n-grams, less those of the contexts inside it, less log N. Then the table
+needs no n-grams that occur once, since their logarithm is 0. The most frequent
+n-grams, ``HOT_ROWS`` at most, are broadcast and summed up while a document is
+read, so a frequent n-gram is never shuffled; each other one is a row (n-gram,
+document, sign) that meets the count table in a shuffle join. How much is broadcast
+does not change a value.
 
 Documents without words have n_words 0 and a null score. Rows that share an id
 are scored as one document, null ids too.
@@ -23,173 +26,192 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
-from .text import WordHashes, alnum_words, mix
+from .shared import Scratch
+from .text import WordHashes, alnum_words, mix, shingle_hashes
 
+ORDER = 2
 ALPHA = 0.4
-#: Pairs under this count are unseen.
-LEAST_PAIRS = 2
-#: The SQL twin's share below which n-grams are dropped: no more than those seen once, up to ten million. Not used here.
-MIN_SHARE = 2e-7
-#: Rows of a count table that are broadcast at most.
-HOT_ROWS = 1_000_000
-#: With this, a write drops its shuffle files when it ends.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Columns of the rows; those that are alike in a run stand together, so that a shuffle packs them.
-FOUND = ["words", "found", "base", "settled", "doc_id", "pair", "gain"]
-RARE = ["start", "first_c", "word_c", "doc_id", "first", "word", "pair"]
+#: Rows of the count table that are broadcast at most, of 16 bytes each.
+HOT_ROWS = 2_000_000
+#: Documents that a task scores at once.
+_SLICE = 500
 _HASHES = WordHashes()
 
 
-def _pairs(h: np.ndarray) -> np.ndarray:
-    return mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
+def _runs(h: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first places, hashes) of the runs of so many words inside one document."""
+    if len(h) < size:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    inside = doc[: len(h) - size + 1] == doc[size - 1 :]
+    return np.flatnonzero(inside), shingle_hashes(h, size)[inside]
 
 
-def _counted(docs: DataFrame, order: int, text_col: str) -> DataFrame:
-    """(gram, n) of each Arrow batch, to be summed up."""
+def _hashed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word hashes of all texts, the text of each, words of each text)."""
+    each = [_HASHES.of(alnum_words(t)) for t in texts]
+    size = np.array([len(x) for x in each], np.int64)
+    return np.concatenate([np.zeros(0, np.uint64), *each]), np.repeat(np.arange(len(each)), size), size
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            hashed = [_HASHES.of(alnum_words(t)) for t in b.column(0).to_pylist()]
-            grams = np.concatenate([np.zeros(0, np.uint64), *[_pairs(h) if order == 2 else h for h in hashed if len(h) >= order]])
-            gram, n = np.unique(grams, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n.astype(np.int64))], ["gram", "n"])
 
-    return docs.select(F.col(text_col)).mapInArrow(run, "gram bigint, n bigint")
+def count_table(corpus: DataFrame, order: int = ORDER, text_col: str = "text") -> DataFrame:
+    """(size, gram, c): the hashed n-grams of 1 to ``order`` words of the whole corpus, hashed by n-gram; the n-gram of no
+    word, of size 0, counts all words."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, doc, _ = _hashed(b.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([0], pa.int64()), pa.array([len(h)], pa.int64())], ["size", "gram", "n"])
+            for size in range(1, order + 1):
+                gram, n = np.unique(_runs(h, doc, size)[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), size, np.int32)), pa.array(gram.view(np.int64)), pa.array(n.astype(np.int64))], ["size", "gram", "n"])
 
-def count_table(docs: DataFrame, order: int, least: int = 1, text_col: str = "text") -> DataFrame:
-    """(gram, c): the hashed n-grams of the whole corpus with at least that count, written partitioned by hash."""
-    counts = _counted(docs, order, text_col).groupBy("gram").agg(F.sum("n").alias("c"))
-    conf, before = docs.sparkSession.conf, docs.sparkSession.conf.get(CLEANUP)
-    conf.set(CLEANUP, "true")  # the written table is all that is needed from here on
-    try:
-        return written(counts.where(F.col("c") >= least))
-    finally:
-        conf.set(CLEANUP, before)
+    counted = corpus.select(F.col(text_col)).mapInArrow(run, "size int, gram bigint, n bigint")
+    return counted.groupBy("size", "gram").agg(F.sum("n").alias("c"))
 
 
-def _split(counts: DataFrame, rows: int) -> tuple[tuple[np.ndarray, np.ndarray], DataFrame | None]:
-    """(n-grams, counts) of the most frequent ones, sorted, at most so many; the others that occur twice or more, if any."""
+def _hot(counts: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(n-grams, counts, least): the n-grams with a count of least or more, sorted; they are so many rows at most."""
     step = F.floor(4 * F.log2("c")).cast("int")
     size = {r[0]: r[1] for r in counts.where("c >= 2").groupBy(step.alias("step")).count().collect()}
-    least, n = max(size, default=0) + 1, 0
+    lowest, n = max(size, default=0) + 1, 0
     for k in sorted(size, reverse=True):
         n += size[k]
         if n > rows:
             break
-        least = k
-    some = counts.where("c >= 2")
-    top = some.where(step >= least).toArrow()
+        lowest = k
+    top = counts.where("c >= 2").where(step >= lowest).select("gram", "c").toArrow()
     gram, c = (top.column(k).to_numpy() for k in (0, 1))
     at = np.argsort(gram.view(np.uint64))
-    return (gram.view(np.uint64)[at], c[at]), None if least <= min(size, default=0) or not size else some.where(step < least)
+    least = int(c.min()) if len(c) else np.iinfo(np.int64).max
+    return gram.view(np.uint64)[at], c[at], least
 
 
-def _counts(grams: np.ndarray, table: tuple[np.ndarray, np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(counts, their logarithms); least where the table has none, with logarithm 0."""
-    names, c = table
+def _logs(grams: np.ndarray, names: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Logarithms of the counts; 0 where the table has none."""
+    if not len(names) or not len(grams):
+        return np.zeros(len(grams))
     known, place = np.unique(grams, return_inverse=True)
-    count = np.full(len(known), least, np.int64)
-    if len(names):
-        at = np.minimum(np.searchsorted(names, known), len(names) - 1)
-        count = np.where(names[at] == known, c[at], least)
-    return count[place], np.log(np.maximum(count, 1).astype(float))[place]
+    at = np.minimum(np.searchsorted(names, known), len(names) - 1)
+    return np.where(names[at] == known, np.log(c[at].astype(float)), 0.0)[place]
 
 
-def _rows(docs: DataFrame, hot: Broadcast, total: int, alpha: float, rare: bool, complete: tuple[bool, bool], id_col: str, text_col: str) -> DataFrame:
-    """Of each document one summary of what the broadcast tables settle, and a row for each other pair whose words they
-    have; or (rare) a row for each pair, or first word, with a word that they lack.
+def _terms(h: np.ndarray, doc: np.ndarray, size: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, n-gram, sign) of the terms of the documents' scores, but for log N.
 
-    complete: the tables of words and of pairs lack only what counts as seen once and as unseen.
-    base is the score of the occurrences without their pair, gain what log c(pair) is added to if the pair is found.
+    Written out, each context but those inside the document stands once above and once below a fraction.
     """
-    kind, log_n, log_a = docs.schema[id_col].dataType.simpleString(), math.log(max(total, 1)), math.log(alpha)
+    begin = np.cumsum(size) - size
+    at, gram = _runs(h, doc, order)
+    of, grams, sign = [doc[at]], [gram], [np.ones(len(at), np.int64)]
+    if order > 1:
+        at, gram = _runs(h, doc, order - 1)
+        inner = (at > begin[doc[at]]) & (at + order - 1 < (begin + size)[doc[at]])
+        of, grams, sign = [*of, doc[at][inner]], [*grams, gram[inner]], [*sign, -np.ones(int(inner.sum()), np.int64)]
+    for n in range(1, order):  # a document of so few words is one n-gram
+        at, gram = _runs(h, doc, n)
+        whole = size[doc[at]] == n
+        of, grams, sign = [*of, doc[at][whole]], [*grams, gram[whole]], [*sign, np.ones(int(whole.sum()), np.int64)]
+    return np.concatenate(of), np.concatenate(grams), np.concatenate(sign)
+
+
+def _scored(docs: DataFrame, hot, total: int, order: int, id_col: str, text_col: str) -> DataFrame:
+    """For each document a row (words, repeated, value) of what the broadcast n-grams settle, sign null and gram anything
+    that spreads, and a row (gram, sign) for each n-gram that is not among them."""
+    kind, log_n = docs.schema[id_col].dataType.simpleString(), math.log(max(total, 1))
+    names = ["doc_id", "gram", "sign", "words", "repeated", "value"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot_names, hot_c = hot.value
+        for b in batches:
+            for k in range(0, b.num_rows, _SLICE):
+                part = b.slice(k, _SLICE)
+                h, doc, size = _hashed(part.column(1).to_pylist())
+                of, gram, sign = _terms(h, doc, size, order)
+                log, n = _logs(gram, hot_names, hot_c), part.num_rows
+                found = log > 0
+                value = np.bincount(of, log * sign, n).astype(float) - log_n * np.where(size > 0, size if order == 1 else 1, 0)
+                repeated = np.bincount(of[found & (sign > 0)], minlength=n)
+                spread = mix(np.arange(n, dtype=np.uint64) + size.astype(np.uint64) * np.uint64(_SLICE))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(spread.view(np.int64)), pa.nulls(n, pa.int64()), pa.array(size), pa.array(repeated.astype(np.int64)), pa.array(value)], names)
+                of, gram, sign = of[~found], gram[~found], sign[~found]
+                nulls = pa.nulls(len(of), pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of)), pa.array(gram.view(np.int64)), pa.array(sign), nulls, nulls, pa.nulls(len(of), pa.float64())], names)
+
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, gram bigint, sign bigint, words bigint, repeated bigint, value double")
+
+
+def _positions(docs: DataFrame, order: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, known, g1.., x2..) of each word: the n-grams that end there and their contexts, null where the document has
+    too few words before; a document without words is a row of nulls."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    names = ["doc_id", "known", *[f"g{n}" for n in range(1, order + 1)], *[f"x{n}" for n in range(2, order + 1)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pairs = hot.value
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for k in range(0, len(texts), 500):
-                hashed = [_HASHES.of(alnum_words(t)) for t in texts[k : k + 500]]
-                size = np.array([len(x) for x in hashed])
-                h, doc = np.concatenate(hashed), np.repeat(np.arange(len(hashed)), size)
-                count, log = _counts(h, words, 1 if complete[0] else 0)
-                begin = (np.cumsum(size) - size)[size > 0]
-                at = np.flatnonzero(doc[1:] == doc[:-1])
-                lacks = (count[at] == 0) | (count[at + 1] == 0)
-                pair = _pairs(h)[at] if len(h) else h
-                if rare:
-                    at, pair, begin = at[lacks], pair[lacks], begin[count[begin] == 0]
-                    first, word = np.r_[begin, at], np.r_[begin, at + 1]
-                    columns = [np.arange(len(first)) < len(begin), count[first], count[word], doc[first], h[first], h[word], np.r_[h[begin], pair]]
-                else:
-                    at, pair = at[~lacks], pair[~lacks]
-                    back = log[at + 1] - log_n + log_a
-                    gain = -log[at] - back
-                    got, log_got = _counts(pair, pairs, 0)
-                    base = np.bincount(doc[at], back + np.where(got > 0, log_got + gain, 0.0), len(hashed)).astype(float)  # of none it makes integers
-                    begin = begin[count[begin] > 0]
-                    base[doc[begin]] += log[begin] - log_n
-                    left = np.zeros(len(pair), bool) if complete[1] else got == 0
-                    n, many = len(hashed), int(left.sum())
-                    key = mix(np.arange(n, dtype=np.uint64) + size.astype(np.uint64))  # anything that spreads
-                    columns = [np.r_[size, np.zeros(many, np.int64)], np.r_[np.bincount(doc[at][got > 0], minlength=n), np.zeros(many, np.int64)], np.r_[base, np.zeros(many)], np.arange(n + many) < n, np.r_[np.arange(n), doc[at][left]], np.r_[key, pair[left]], np.r_[np.zeros(n), gain[left]]]
-                names = RARE if rare else FOUND
-                columns = [pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns]
-                of = names.index("doc_id")
-                columns[of] = b.column(0).take(pa.array(columns[of].to_numpy() + k))
-                yield pa.RecordBatch.from_arrays(columns, names)
-
-    kinds = {"doc_id": kind, "base": "double", "gain": "double", "settled": "boolean", "start": "boolean"}
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, ", ".join(f"{c} {kinds.get(c, 'bigint')}" for c in (RARE if rare else FOUND)))
-
-
-def _with_rare_words(rows: DataFrame, rare: DataFrame, total: int, alpha: float) -> DataFrame:
-    """The rows with a word that was not broadcast, as the other rows are; what the table lacks too counts as seen once."""
-    lacks_first = (F.col("first_c") == 0) & ~F.col("start")
-    both = lacks_first & (F.col("word_c") == 0)
-    table = rare.select(F.col("gram").alias("key"), F.col("c").alias("key_c"))
-    got = F.coalesce("key_c", F.lit(1))
-    # No frequent word is a key; the second key is a pair, which no table of words has, where one word was missing.
-    rows = rows.withColumn("key", F.when(lacks_first, F.col("first")).otherwise(F.col("word"))).join(table, "key", "left")
-    rows = rows.select("start", F.when(lacks_first, got).otherwise(F.col("first_c")).alias("first_c"), F.when(lacks_first, F.col("word_c")).otherwise(got).alias("word_c"), "doc_id", "pair", F.when(both, F.col("word")).otherwise(F.col("pair")).alias("key"))
-    rows = rows.join(table, "key", "left")
-    word = F.log(F.when(F.col("word_c") == 0, got).otherwise(F.col("word_c")).cast("double")) - math.log(max(total, 1))
-    back = F.when(F.col("start"), word).otherwise(word + math.log(alpha))
-    zero = F.lit(0).cast("bigint")
-    return rows.select(zero.alias("words"), zero.alias("found"), back.alias("base"), F.col("start").alias("settled"), "doc_id", "pair", (-F.log(F.col("first_c").cast("double")) - back).alias("gain"))
-
-
-def backoff_scores(docs: DataFrame, corpus: DataFrame | None = None, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(doc_id, n_words, n_found, log_score, score): score is the mean of the words; corpus: the documents themselves.
-
-    A word that its table lacks counts as seen once. hot_rows says how much of a table is broadcast; results don't depend on it.
+            for k in range(0, b.num_rows, _SLICE):
+                part = b.slice(k, _SLICE)
+                h, doc, size = _hashed(part.column(1).to_pylist())
+                empty = np.flatnonzero(size == 0)
+                grams, contexts = [], []
+                for n in range(1, order + 1):
+                    at, gram = _runs(h, doc, n)
+                    for out, place in ((grams, at + n - 1), (contexts, at + n)):
+                        ok = (place < len(h)) & (doc[np.minimum(place, max(len(h) - 1, 0))] == doc[at]) if len(at) else np.zeros(0, bool)
+                        value, there = np.zeros(len(h) + len(empty), np.uint64), np.zeros(len(h) + len(empty), bool)
+                        value[place[ok]], there[place[ok]] = gram[ok], True
+                        out.append(pa.array(value.view(np.int64), mask=~there))
+                ids = part.column(0).take(pa.array(np.r_[doc, empty]))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.arange(len(h) + len(empty)) < len(h)), *grams, *contexts[: order - 1]], names)
+
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, ", ".join([f"doc_id {kind}", "known boolean", *[f"{c} bigint" for c in names[2:]]]))
+
+
+def _backed_off(docs: DataFrame, counts: DataFrame, total: int, order: int, alpha: float, id_col: str, text_col: str) -> DataFrame:
+    """Scores by another corpus: a left join with the counts for each size of n-grams and contexts."""
+    rows = _positions(docs, order, id_col, text_col)
+    for c in rows.columns[2:]:
+        size = int(c[1:]) - (c[0] == "x")
+        rows = rows.join(counts.where(F.col("size") == size).select(F.col("gram").alias(c), F.col("c").alias(f"c_{c}")), c, "left")
+    longest = reduce(lambda a, n: F.when(F.col(f"g{n}").isNotNull(), n).otherwise(a), range(1, order + 1), F.lit(0))
+    score = F.log(F.coalesce("c_g1", F.lit(1)).cast("double")) - math.log(max(total, 1)) + (longest - 1) * math.log(alpha)
+    repeated = F.lit(False)
+    for n in range(2, order + 1):
+        here = F.log(F.col(f"c_g{n}").cast("double")) - F.log(F.col(f"c_x{n}").cast("double")) + (longest - n) * math.log(alpha)
+        score = F.when(F.col(f"c_g{n}").isNotNull(), here).otherwise(score)
+    for n in range(1, order + 1):
+        repeated = F.when(longest == n, F.coalesce(F.col(f"c_g{n}") >= 2, F.lit(False))).otherwise(repeated)
+    return rows.select("doc_id", F.col("known").cast("bigint").alias("words"), repeated.cast("bigint").alias("repeated"), F.when(F.col("known"), score).otherwise(0.0).alias("value"))
+
+
+def backoff_scores(
+    docs: DataFrame, corpus: DataFrame | None = None, order: int = ORDER, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text", hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """(doc_id, n_words, n_repeated, log_score, score): n_repeated are the document's n-grams that the corpus has twice or
+    more, score is the mean of the words. corpus: the documents themselves where it is None.
+
+    hot_rows says how much of the table is broadcast; results don't depend on it.
     """
-    corpus = docs if corpus is None else corpus
-    words, pairs = count_table(corpus, 1, 1, text_col), count_table(corpus, 2, LEAST_PAIRS, text_col)
-    total = words.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    (hot_words, rare_words), (hot_pairs, rare_pairs) = _split(words, hot_rows), _split(pairs, hot_rows)
-    hot = docs.sparkSession.sparkContext.broadcast((hot_words, hot_pairs))
-    complete = rare_words is None, rare_pairs is None
-    found = _rows(docs, hot, total, alpha, False, complete, id_col, text_col)
-    if rare_words is not None:
-        found = found.unionByName(_with_rare_words(_rows(docs, hot, total, alpha, True, complete, id_col, text_col), rare_words, total, alpha))
-    # Rows with rare words were not looked up among the broadcast pairs.
-    rest = pairs if rare_words is not None else rare_pairs
-    if rest is None:
-        found = found.withColumn("c", F.lit(None).cast("bigint"))
+    scratch, own = Scratch(docs.sparkSession), corpus is None
+    counts = count_table(docs if own else corpus, order, text_col)
+    counts = scratch.write(counts.where("size = 0 or c >= 2") if own else counts)
+    total = counts.where("size = 0").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    counts = counts.where("size > 0")
+    if own:
+        names, c, least = _hot(counts, hot_rows)
+        rest = counts.where(F.col("c") < least).select("gram", "c")
+        rows = _scored(docs, docs.sparkSession.sparkContext.broadcast((names, c)), total, order, id_col, text_col)
+        settled = F.col("sign").isNull()
+        rows = rows.join(rest, "gram", "left").where(settled | F.col("c").isNotNull())
+        value = F.when(settled, F.col("value")).otherwise(F.col("sign") * F.log(F.col("c").cast("double")))
+        rows = rows.select("doc_id", F.coalesce("words", F.lit(0)).alias("words"), F.coalesce("repeated", (F.col("sign") > 0).cast("bigint")).alias("repeated"), value.alias("value"))
     else:
-        found = found.join(rest.select(F.col("gram").alias("pair"), "c"), "pair", "left")
-    seen = F.col("c").isNotNull() & ~F.col("settled")
-    found = found.where(seen | F.col("settled") | (F.col("base") != 0))
-    more = F.when(seen, F.log(F.col("c").cast("double")) + F.col("gain")).otherwise(0.0)
-    sums = found.groupBy("doc_id").agg(F.sum("words").alias("n_words"), F.sum(F.col("found") + seen.cast("bigint")).alias("n_found"), F.sum(F.col("base") + more).alias("log_score"))
-    return sums.withColumn("score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
+        rows = _backed_off(docs, counts, total, order, alpha, id_col, text_col)
+    sums = rows.groupBy("doc_id").agg(F.sum("words").alias("n_words"), F.sum("repeated").alias("n_repeated"), F.sum("value").alias("log_score"))
+    return sums.select("doc_id", "n_words", "n_repeated", F.when(F.col("n_words") > 0, F.col("log_score")).alias("log_score"), F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).alias("score"))

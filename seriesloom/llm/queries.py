@@ -54,7 +54,7 @@ def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ngram_scores.backoff_scores(_read(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", "n_found", F.round("score", 6).alias("score"))
+    return out.select("doc_id", "n_words", "n_repeated", F.round("score", 6).alias("score"))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,12 +96,12 @@ FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 _OP9 = f"""WITH d AS ({_words("documents", "doc_id", _ALNUM)}),
 p AS (SELECT doc_id, CASE WHEN k > 1 THEN w[k - 1] END AS a, w[k] AS b FROM d, LATERAL (SELECT unnest(generate_series(1, len(w))) AS k)),
-n AS (SELECT count(*) AS words, greatest(2, ceil({ngram_scores.MIN_SHARE} * count(*))) AS least_words, greatest(2, ceil({ngram_scores.MIN_SHARE} * count(a))) AS least_pairs FROM p),
-one AS (SELECT b AS w, count(*) AS c FROM p GROUP BY 1 HAVING count(*) >= (SELECT least_words FROM n)),
-two AS (SELECT a, b, count(*) AS c FROM p WHERE a IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= (SELECT least_pairs FROM n)),
-s AS (SELECT doc_id, two.c IS NOT NULL AS seen, CASE WHEN two.c IS NOT NULL THEN ln(two.c) - ln(coalesce(x.c, 1)) ELSE ln(coalesce(y.c, 1)) - ln(words) + CASE WHEN p.a IS NULL THEN 0 ELSE ln({ngram_scores.ALPHA}) END END AS s
-  FROM p CROSS JOIN n LEFT JOIN two ON p.a = two.a AND p.b = two.b LEFT JOIN one x ON p.a = x.w LEFT JOIN one y ON p.b = y.w)
-SELECT d.doc_id, count(s) AS n_words, count(*) FILTER (seen) AS n_found, round(sum(s) / count(s), 6) AS score FROM d LEFT JOIN s USING (doc_id) GROUP BY 1"""
+n AS (SELECT count(*) AS words FROM p),
+one AS (SELECT b AS w, count(*) AS c FROM p GROUP BY 1),
+two AS (SELECT a, b, count(*) AS c FROM p WHERE a IS NOT NULL GROUP BY 1, 2),
+s AS (SELECT doc_id, CASE WHEN p.a IS NOT NULL THEN two.c >= 2 ELSE len(d.w) = 1 AND y.c >= 2 END AS again, CASE WHEN p.a IS NOT NULL THEN ln(two.c) - ln(x.c) ELSE ln(y.c) - ln(words) END AS s
+  FROM p JOIN d USING (doc_id) CROSS JOIN n LEFT JOIN two ON p.a = two.a AND p.b = two.b LEFT JOIN one x ON p.a = x.w LEFT JOIN one y ON p.b = y.w)
+SELECT d.doc_id, count(s) AS n_words, count(*) FILTER (again) AS n_repeated, round(sum(s) / count(s), 6) AS score FROM d LEFT JOIN s USING (doc_id) GROUP BY 1"""
 
 _OP10 = f"""WITH RECURSIVE d AS ({_words("documents", "doc_id", _SPACE)}),
 sets AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 2], ' ') AS s FROM d, LATERAL (SELECT unnest(generate_series(1, greatest(1, len(w) - 2))) AS k) WHERE len(w) > 0),

@@ -340,46 +340,60 @@ def test_hundreds_of_signatures():
     assert len(license_scan.FAMILIES) * len(license_scan.FORMS) > 300
 
 
-def test_backoff_scores_as_by_hand(spark):
-    rows = [(1, "a b a b c"), (2, "a b d"), (3, None), (4, ""), (5, "e"), (6, "c a b")]
-    words = {k: text.alnum_words(t) for k, t in rows}
-    one = Counter(w for ws in words.values() for w in ws)
-    two = Counter(p for ws in words.values() for p in zip(ws, ws[1:]))
-    total = sum(one.values())
-    known = lambda w: one[w] if one[w] >= 2 else 1
-    got = {r["doc_id"]: r for r in ngram_scores.backoff_scores(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    for k, ws in words.items():
-        s = sum(math.log(known(w) / total) for w in ws[:1])
-        for p in zip(ws, ws[1:]):
-            s += math.log(two[p] / one[p[0]]) if two[p] >= 2 else math.log(0.4 * known(p[1]) / total)
-        assert got[k]["n_words"] == len(ws)
-        assert got[k]["log_score"] == pytest.approx(s)
-        assert got[k]["score"] == (pytest.approx(s / len(ws)) if ws else None)
-
-
-@pytest.mark.parametrize("hot_rows", [0, 3, 10, 10**6])
-def test_scores_use_rare_counts_whatever_is_broadcast(spark, hot_rows):
+def scores_by_hand(rows, corpus, order, alpha=0.4):
+    """id -> (words, n-grams that occur twice, sum of logarithms), straight from the definition."""
+    count = Counter(tuple(w[k : k + n]) for w in (text.alnum_words(t) for _, t in corpus) for n in range(1, order + 1) for k in range(len(w) - n + 1))
+    total = max(sum(c for g, c in count.items() if len(g) == 1), 1)
+    out = {}
+    for i, t in rows:
+        w = text.alnum_words(t)
+        s, again = 0.0, 0
+        for k in range(len(w)):
+            longest = min(order, k + 1)
+            n = next((n for n in range(longest, 1, -1) if count[tuple(w[k - n + 1 : k + 1])]), 1)
+            gram = tuple(w[k - n + 1 : k + 1])
+            s += (longest - n) * math.log(alpha) + math.log(max(count[gram], 1) / (count[gram[:-1]] if n > 1 else total))
+            again += k + 1 >= min(order, len(w)) and count[tuple(w[k - longest + 1 : k + 1])] >= 2
+        out[i] = (len(w), again, s)
+    return out
+
+
+def same_scores(got, want, repeated=True):
+    for r in got:
+        n, again, s = want[r["doc_id"]]
+        assert r["n_words"] == n and (not repeated or r["n_repeated"] == again)
+        assert r["log_score"] == (pytest.approx(s, abs=1e-9) if n else None)
+        assert r["score"] == (pytest.approx(s / n, abs=1e-9) if n else None)
+        assert not n or r["score"] < 1e-9
+    assert len(got) == len(want)
+
+
+@pytest.mark.parametrize(("order", "hot_rows"), [(1, 10), (2, 0), (2, 10**6), (3, 20)])
+def test_scores_of_the_own_corpus_as_by_hand(spark, order, hot_rows):
     rnd = random.Random(3)
     rows = [(k, " ".join(f"w{min(int(rnd.paretovariate(0.6)), 60)}" for _ in range(rnd.randrange(40)))) for k in range(40)]
-    words = [t.split() for _, t in rows]
-    one, two = Counter(w for ws in words for w in ws), Counter(p for ws in words for p in zip(ws, ws[1:]))
-    df, total = spark.createDataFrame(rows, "doc_id bigint, text string"), sum(one.values())
-    got = {r["doc_id"]: r for r in ngram_scores.backoff_scores(df, hot_rows=hot_rows).collect()}
-    for k, ws in enumerate(words):
-        pairs = list(zip(ws, ws[1:]))
-        s = sum(math.log(one[w] / total) for w in ws[:1])
-        s += sum(math.log(two[p] / one[p[0]]) if two[p] >= 2 else math.log(0.4 * one[p[1]] / total) for p in pairs)
-        assert (got[k]["n_words"], got[k]["n_found"]) == (len(ws), sum(two[p] >= 2 for p in pairs))
-        assert got[k]["log_score"] == pytest.approx(s)
-
-
-def test_scores_do_not_prune_by_the_size_of_the_corpus(spark):
+    rows += [(40, None), (41, ""), (42, "once"), (43, "only once here"), (44, "a b"), (45, "a b")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    same_scores(ngram_scores.backoff_scores(df, order=order, hot_rows=hot_rows).collect(), scores_by_hand(rows, rows, order))
+
+
+@pytest.mark.parametrize("order", [1, 3])
+def test_scores_of_another_corpus_back_off(spark, order):
+    rnd = random.Random(4)
+    make = lambda n: [(k, " ".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(9)))) for k in range(n)]
+    rows, corpus = [*make(30), (30, "unseen a unseen b c")], [*make(25), (99, None)]
+    a, b = (spark.createDataFrame(x, "doc_id bigint, text string") for x in (rows, corpus))
+    same_scores(ngram_scores.backoff_scores(a, corpus=b, order=order).collect(), scores_by_hand(rows, corpus, order), repeated=False)
+
+
+def test_rare_counts_do_not_depend_on_the_size_of_the_corpus(spark):
     filler = spark.range(2_000).select((F.col("id") + 10).alias("doc_id"), F.repeat(F.lit("the the "), 4000).alias("text"))
-    two = spark.createDataFrame([(1, "rare pair"), (2, "rare pair")], "doc_id bigint, text string")
-    got = {r["doc_id"]: r for r in ngram_scores.backoff_scores(two, corpus=filler.unionByName(two)).collect()}
-    for k in (1, 2):  # 16 million words: a share of all would cut at 4
-        assert got[k]["n_found"] == 1
-        assert got[k]["log_score"] == pytest.approx(math.log(2 / (2_000 * 8_000 + 4)))
+    two = spark.createDataFrame([(1, "the rare pair"), (2, "the rare pair")], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in ngram_scores.backoff_scores(filler.unionByName(two)).where("doc_id < 10").collect()}
+    n = 2_000 * 8_000
+    for k in (1, 2):
+        assert got[k]["n_repeated"] == 2
+        assert got[k]["log_score"] == pytest.approx(math.log((n + 2) / (n + 6)) + math.log(2 / (n + 2)))
 
 
 def test_scores_of_odd_rows(odd, none):
