@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .linking import link_groups, small
-from .shared import Scratch
+from .shared import Scratch, quoted
 from .text import WordHashes, mix, shingle_hashes, space_words
 
 SIZE = 3
@@ -49,10 +49,6 @@ _WIDER = ((2000, 64), (600, 16))
 _HASHES = WordHashes()
 
 
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def element_set(text: str | None, size: int = SIZE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles."""
     return np.unique(shingle_hashes(_HASHES.of(space_words(text)), size))
@@ -160,7 +156,7 @@ def _described(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFr
             columns = [b.column(0), b.column(2), pa.array(names, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "id", "n", "bits", "wide"])
 
-    return docs.select(F.col(_quoted(id_col)), F.col(_quoted(text_col)), F.xxhash64(_quoted(text_col))).mapInArrow(run, f"doc_id {kind}, mark bigint, id bigint, n bigint, bits array<bigint>, wide array<bigint>")
+    return docs.select(F.col(quoted(id_col)), F.col(quoted(text_col)), F.xxhash64(quoted(text_col))).mapInArrow(run, f"doc_id {kind}, mark bigint, id bigint, n bigint, bits array<bigint>, wide array<bigint>")
 
 
 def _keyed(docs: DataFrame, size: int, percent: int, text_col: str) -> DataFrame:
@@ -182,12 +178,12 @@ def _keyed(docs: DataFrame, size: int, percent: int, text_col: str) -> DataFrame
                 place, sig = signatures(sets[k : k + 500], percent)
                 yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(np.array(names[k : k + 500], dtype=np.int64)[place])], ["key", "id"])
 
-    return docs.select(F.col(_quoted(text_col))).mapInArrow(run, "key bigint, id bigint")
+    return docs.select(F.col(quoted(text_col))).mapInArrow(run, "key bigint, id bigint")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
     """(id, elements) of wanted (id, doc), from the document doc; from documents without id where doc is null."""
-    docs = docs.select(F.col(_quoted(id_col)).alias("doc"), F.col(_quoted(text_col)).alias("text"))
+    docs = docs.select(F.col(quoted(id_col)).alias("doc"), F.col(quoted(text_col)).alias("text"))
     texts = docs.join(small(wanted.where("doc is not null").select("doc").distinct()), "doc", "left_semi").select("text")
     if wanted.where("doc is null").limit(1).count():
         texts = texts.unionByName(docs.where("doc is null").select("text"))
@@ -259,8 +255,8 @@ def drop_near_copies(docs: DataFrame, size: int, percent: int, id_col: str = "do
     stay = rooted.join(small(several, width=48), "root", "left").where("times > 1 and (kept is null or row = kept)")
     again = scratch.write(stay.select(F.col("row.doc_id").alias("_doc"), F.col("row.mark").alias("_mark")))
 
-    row = F.struct(*[F.col(_quoted(c)) for c in docs.columns]).alias("row")  # names cannot clash in a struct
-    whole = docs.select(row, F.col(_quoted(id_col)).alias("doc"), F.xxhash64(_quoted(text_col)).alias("mark"))
+    row = F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row")  # names cannot clash in a struct
+    whole = docs.select(row, F.col(quoted(id_col)).alias("doc"), F.xxhash64(quoted(text_col)).alias("mark"))
     same = F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("mark") == F.col("_mark"))
     left = whole.join(small(gone), same, "left_anti")
     if again.limit(1).count():

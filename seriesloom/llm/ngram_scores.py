@@ -57,7 +57,7 @@ def _hashed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     """(word hashes of all texts, the text of each, words of each text)."""
     each = [_HASHES.of(alnum_words(t)) for t in texts]
     size = np.array([len(x) for x in each], np.int64)
-    return np.concatenate([np.zeros(0, np.uint64), *each]), np.repeat(np.arange(len(each)), size), size
+    return np.concatenate([np.zeros(0, np.uint64), *each]), np.repeat(np.arange(len(each), dtype=np.int32), size), size
 
 
 def count_table(corpus: DataFrame, order: int = ORDER, text_col: str = "text") -> DataFrame:
@@ -66,11 +66,12 @@ def count_table(corpus: DataFrame, order: int = ORDER, text_col: str = "text") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h, doc, _ = _hashed(b.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([0], pa.int64()), pa.array([len(h)], pa.int64())], ["size", "gram", "n"])
-            for size in range(1, order + 1):
-                gram, n = np.unique(_runs(h, doc, size)[1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), size, np.int32)), pa.array(gram.view(np.int64)), pa.array(n.astype(np.int64))], ["size", "gram", "n"])
+            for k in range(0, b.num_rows, 8 * _SLICE):
+                h, doc, _ = _hashed(b.column(0).slice(k, 8 * _SLICE).to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([0], pa.int64()), pa.array([len(h)], pa.int64())], ["size", "gram", "n"])
+                for size in range(1, order + 1):
+                    gram, n = np.unique(_runs(h, doc, size)[1], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), size, np.int32)), pa.array(gram.view(np.int64)), pa.array(n.astype(np.int64))], ["size", "gram", "n"])
 
     counted = corpus.select(F.col(text_col)).mapInArrow(run, "size int, gram bigint, n bigint")
     return counted.groupBy("size", "gram").agg(F.sum("n").alias("c"))

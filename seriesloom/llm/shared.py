@@ -11,6 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def quoted(name: str) -> str:
+    """A column's name as F.col() takes it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new path under ``spark.checkpoint.dir``. Where that is unset, a local session, as in tests, gets a temporary
     folder; on a cluster that is an error, since executors would each write to a disk of their own."""

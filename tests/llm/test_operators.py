@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -228,10 +229,15 @@ def distance(a, b):
     return before[-1]
 
 
+def normal(line):
+    return re.sub(r"[ \t\r]+", " ", line).strip(" ").lower()
+
+
 def test_lines_as_by_brute_force(spark):
+    """Blocks as counted by hand; groups as of all pairs that share a key and are near by edit distance."""
     rnd = random.Random(11)
     vocabulary = ["".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randrange(2, 9))) for _ in range(300)]
-    bases = [[rnd.choice(vocabulary) for _ in range(rnd.choice([3, 8, 25, 40]))] for _ in range(12)]
+    bases = [[rnd.choice(vocabulary) for _ in range(rnd.choice([2, 3, 8, 12, 25, 32, 60]))] for _ in range(14)]
     rows = []
     for k in range(60):
         lines = []
@@ -245,18 +251,24 @@ def test_lines_as_by_brute_force(spark):
     rows.append((60, None))
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     places = line_dedup._lines(df, "doc_id", "text").collect()
-    norm = lambda s: re.sub(r"[ \t\r]+", " ", s).strip(" ").lower()
-    assert {r["line"] for r in places} == {norm(x) for _, t in rows if t for x in t.split("\n") if norm(x)}
-    hashes = {r["h"]: r["simhash"] for r in line_dedup.distinct_lines(df).collect()}
+    assert {r["line"] for r in places} == {normal(x) for _, t in rows if t for x in t.split("\n") if normal(x)}
+    table = line_dedup.distinct_lines(df)
+    found = {r["h"]: r for r in table.collect()}
     lines = {r["h"]: r["line"] for r in places}
-    word_hash = {r["w"]: r["x"] for r in spark.createDataFrame([(w,) for w in {w for x in lines.values() for w in x.split(" ")}], "w string").select("w", F.xxhash64("w").alias("x")).collect()}
+    word_hash = {r["w"]: r["x"] % 2**64 for r in spark.createDataFrame([(w,) for w in {w for x in lines.values() for w in x.split(" ")}], "w string").select("w", F.xxhash64("w").alias("x")).collect()}
     for h, x in lines.items():
-        w = set(x.split(" "))
-        want = None
-        if len(w) >= line_dedup.MIN_WORDS:
-            want = sum(1 << k for k in range(64) if 2 * sum(word_hash[y] >> k & 1 for y in w) > len(w))
-            want -= (want >> 63) << 64
-        assert hashes[h] == want
+        hashes = [word_hash[w] for w in set(x.split(" "))]
+        if len(hashes) < line_dedup.MIN_WORDS:
+            assert found[h]["low"] is None
+            continue
+        for block in range(8):
+            own = [y & 0xFFFF for y in hashes if y >> 61 == block]
+            want = sum(1 << k for k in range(16) if 2 * sum(y >> k & 1 for y in own) > len(own))
+            side = "low" if block < 4 else "high"
+            assert (found[h][side] % 2**64 >> 16 * (block % 4) & 0xFFFF, found[h][side + "_n"] % 2**64 >> 16 * (block % 4) & 0xFFFF) == (want, len(own))
+    keys = {}
+    for r in line_dedup._keyed(table).collect():
+        keys.setdefault(r["id"], set()).add(r["key"])
     root = {h: h for h in lines}
 
     def find(x):
@@ -264,13 +276,13 @@ def test_lines_as_by_brute_force(spark):
             x = root[x]
         return x
 
-    order, links = [h for h in lines if hashes[h] is not None], 0
+    order, links = list(lines), 0
     for k, a in enumerate(order):
         for b in order[:k]:
-            if bin((hashes[a] ^ hashes[b]) & (2**64 - 1)).count("1") <= line_dedup.HAMMING and distance(lines[a], lines[b]) * 100 <= 10 * max(len(lines[a]), len(lines[b])):
+            if keys.get(a, set()) & keys.get(b, set()) and distance(lines[a], lines[b]) * 100 <= 10 * max(len(lines[a]), len(lines[b])):
                 root[max(find(a), find(b))] = min(find(a), find(b))
                 links += 1
-    assert links > 2
+    assert links > 10
     first = {}
     for r in sorted(places, key=lambda r: (r["doc"], r["mark"], r["pos"])):
         first.setdefault(find(r["h"]), (r["doc"], r["pos"]))
@@ -281,6 +293,40 @@ def test_lines_as_by_brute_force(spark):
         assert got[k] == (None, 0) if t is None else got[k] == ("\n".join(kept), t.count("\n") + 1 - len(kept))
 
 
+def test_choices_of_blocks_cover_the_edits_they_are_for():
+    for (_, _, _, choices), equal in zip(line_dedup.CHOICES, (6, 4, 3), strict=True):
+        for left in combinations(range(8), equal):
+            assert any(set(c) <= set(left) for c in choices)
+
+
+def edited(line, kind, rnd, vocabulary):
+    w = line.split(" ")
+    for _ in range(int(kind[0])):
+        k = rnd.randrange(len(w))
+        if kind.endswith("word"):
+            w[k] = rnd.choice(vocabulary)
+        else:
+            at = rnd.randrange(len(w[k]))
+            w[k] = w[k][:at] + rnd.choice("abcdefghijklmnopqrstuvwxyz") + w[k][at + rnd.randrange(2) :]
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("kind", ["1 word", "2 word", "1 character", "2 character"])
+def test_recall_of_edited_lines_against_edit_distance(spark, docs, kind):
+    """Lines of the test table, each once as it is and once edited, in documents of their own: how many edited ones that
+    are within a tenth of the length are found."""
+    rnd = random.Random(5)
+    lines = sorted({normal(x) for r in docs.collect() for x in (r["text"] or "").split("\n")})
+    lines = [x for x in lines if len(set(x.split(" "))) >= 5 and len(x) < 400]
+    lines, vocabulary = rnd.sample(lines, 250), sorted({w for x in lines for w in x.split(" ")})
+    pairs = [(x, edited(x, kind, rnd, vocabulary)) for x in lines]
+    pairs = [(x, y) for x, y in pairs if x != y and distance(x, y) * 100 <= 10 * max(len(x), len(y))]
+    assert len(pairs) > 100
+    df = spark.createDataFrame([row for k, (x, y) in enumerate(pairs) for row in ((k, x), (10**6 + k, y))], "doc_id bigint, text string")
+    got = line_dedup.dedup_lines(df).where("doc_id >= 1000000 and _dropped = 1").count()
+    assert got / len(pairs) >= 0.9
+
+
 def test_equal_rows_keep_the_same_lines(spark):
     df = spark.createDataFrame([(1, "a\nb"), (1, "a\nb"), (None, "b\nc"), (2, "a\nc\n\n")], "doc_id bigint, text string")
     got = sorted((str(r["doc_id"]), r["text"]) for r in line_dedup.dedup_lines(df).collect())
