@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -373,6 +374,9 @@ def test_the_gate_hides_no_license(spark, docs, monkeypatch):
         "the same\t2 terms; the same\nterms as Perl": "perl", "an all\x01rights*reserved text": "proprietary", "CC\u00a0 BY": "",
     }
     names = [re.sub(r"\(\?:|\)|\?", "", names.split("|")[0]) for _, _, names in license_scan.FAMILIES]
+    clauses = [re.sub(r"\(\?:[^()]*\)\?|\(\?:|\)|\?", "", names) for _, _, names in license_scan.CLAUSES if not re.search(r"[\[{\\|]", names)]
+    assert len(clauses) > 60
+    names += clauses
     rows = [*enumerate(given), *[(100 + k, f"x {s.join(n.upper().split(' '))} y") for k, (n, s) in enumerate((n, s) for n in names for s in ("\n", " - "))]]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").unionByName(docs.where("doc_id % 20 = 0").select(F.col("doc_id") + 10**6, "text").toDF("doc_id", "text")).repartition(4)
     passed = {r[0] for r in df.where(license_scan._gate(F.lower("text"))).select("doc_id").collect()}
@@ -382,8 +386,45 @@ def test_the_gate_hides_no_license(spark, docs, monkeypatch):
     assert {k for k, x in found.items() if x} <= passed
 
 
+def test_detections_as_by_brute_force(spark, docs):
+    """All matches of all rules by Python's re, then containment and priority pair by pair."""
+    rnd = random.Random(8)
+    phrases = ["licensed under the mit license", "gnu general public license version 2 or any later version", "apache license 2 0", "cc by sa 4 0", "all rights reserved", "the software is provided as is without warranty of any kind express or implied",
+               "spdx license identifier gpl 3 0 only", "bsd 3 clause license", "redistributions of source code must retain the above copyright notice", "released under the terms of the gnu lesser general public license v2 1", "creativecommons org licenses by nc sa 4 0", "mozilla public license 2 0", "unlicense"]
+    rows = [(k, " ".join(rnd.choice([*phrases, "word", "the", "license", "under", "public"]) for _ in range(rnd.randrange(1, 30)))) for k in range(40)]
+    rows += [(1000 + r["doc_id"], r["text"]) for r in docs.where("doc_id % 10 = 0").collect()]
+    forms = "|".join(b for _, _, _, b in license_scan.FORMS if b)
+    rules = [(label, f"(?:{forms})?(?:{names})", names) for label, _, names in license_scan.FAMILIES] + [(label, f"(?:{names})", None) for label, _, names in license_scan.CLAUSES]
+    keywords = [k for _, k, _ in license_scan.FAMILIES + license_scan.CLAUSES]
+    several = 0
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
+    for k, t in rows:
+        norm = " " + " ".join(x.decode() for x in text.alnum_words(t)) + " "
+        found = []
+        for number, (label, pattern, names) in enumerate(rules):
+            for m in re.finditer(f" {pattern}(?= )", norm) if keywords[number] in norm else ():
+                start = norm[: m.start() + 1].count(" ") - 1
+                form = next((p for _, p, _, b in license_scan.FORMS if re.fullmatch(f" (?:{b})(?:{names})", m.group())), license_scan.FORMS[-1][1]) if names else license_scan.CLAUSE[0]
+                found.append((start, start + m.group().count(" "), form, number, label))
+        def holds(x, y):  # noqa: E306
+            return x[0] <= y[0] and x[1] >= y[1] and ((x[0], x[1]) != (y[0], y[1]) or x[2:4] < y[2:4])
+        kept = sorted((d[0], d[1], d[4]) for d in found if not any(holds(x, d) for x in found))
+        several += len(kept) > 1
+        assert [(d["start"], d["stop"], d["label"]) for d in got[k]["detections"]] == kept
+    assert several > 20
+
+
+def test_a_megabyte_of_mentions_takes_seconds(spark):
+    many = "this mit license covers it and apache license 2.0 covers that, " * 16_000
+    began = time.time()
+    r = license_scan.scan_licenses(spark.createDataFrame([(1, many)], "doc_id bigint, text string")).first()
+    assert (r["n_base"], len(r["detections"])) == (32_000, 32_000)
+    assert time.time() - began < 60
+
+
 def test_hundreds_of_signatures():
-    assert len(license_scan.FAMILIES) * len(license_scan.FORMS) > 300
+    assert len(license_scan.FAMILIES) + len(license_scan.CLAUSES) > 190
+    assert len({n for _, _, n in license_scan.FAMILIES + license_scan.CLAUSES}) > 190
 
 
 def scores_by_hand(rows, corpus, order, alpha=0.4):
