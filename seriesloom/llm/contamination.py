@@ -6,10 +6,11 @@ whole item if it is shorter, are the patterns. A document is normalised the same
 way and scanned once; the end of every match is mapped back to word numbers, and
 those to character offsets in the original text.
 
-The automaton is built from the items in blocks of ``block_bytes`` pattern
-bytes, so that what a worker holds is bounded however large the benchmark is;
-one block is the usual case. Items and documents without words match nothing.
-Null texts have no words. Repeated items with equal ids count once.
+There is one automaton. Its windows come through the driver, so a benchmark of more
+than ``BENCHMARK_BYTES`` of text is refused: split such a one and scan once for each
+part. Items and documents without words match nothing. Null texts have no words.
+Repeated items with equal ids count once; an item without id is found in the words,
+but is none of the item ids.
 """
 
 from __future__ import annotations
@@ -27,38 +28,31 @@ from pyspark.sql import functions as F
 from .text import alnum_words
 
 WINDOW = 10
-BLOCK_BYTES = 16_000_000
+#: Text of a benchmark at most: its windows of ten words take some fifty times that in the driver and in a worker.
+BENCHMARK_BYTES = 8_000_000
 _ORIGINAL = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
 class WindowScanner:
-    """Automata over the windows of items; ``scan(words)`` gives (mask of hit words, set of item ids)."""
+    """The automaton over the windows of items; ``scan(words)`` gives (mask of hit words, set of item ids)."""
 
-    def __init__(self, patterns: list[tuple[bytes, list]], block_bytes: int = BLOCK_BYTES):
-        self.automata = []
-        block, held = ahocorasick.Automaton(), 0
+    def __init__(self, patterns: list[tuple[bytes, list]]):
+        self.automaton = ahocorasick.Automaton()
         for text, items in patterns:
             # words with a space on each side; Latin-1 keeps one character for one byte
-            block.add_word((b" " + text + b" ").decode("latin-1"), (text.count(b" ") + 1, tuple(items)))
-            held += len(text)
-            if held > block_bytes:
-                block.make_automaton()
-                self.automata.append(block)
-                block, held = ahocorasick.Automaton(), 0
-        if len(block):
-            block.make_automaton()
-            self.automata.append(block)
+            self.automaton.add_word((b" " + text + b" ").decode("latin-1"), (text.count(b" ") + 1, tuple(items)))
+        if patterns:
+            self.automaton.make_automaton()
 
     def scan(self, words: list[bytes]) -> tuple[np.ndarray | None, set]:
-        if not words:
+        if not words or not len(self.automaton):
             return None, set()
         line = b" " + b" ".join(words) + b" "
         text = line.decode("latin-1")
         spans, items = [], set()
-        for a in self.automata:
-            for end, (n, ids) in a.iter(text):
-                spans.append((end, n))
-                items.update(ids)
+        for end, (n, ids) in self.automaton.iter(text):
+            spans.append((end, n))
+            items.update(ids)
         if not spans:
             return None, items
         # the word that ends before the space at ``end`` has as many spaces before it as its number
@@ -77,7 +71,7 @@ def windows(items: list[tuple[object, str | None]], window: int = WINDOW) -> lis
     for key, text in items:
         w = alnum_words(text)
         for k in range(max(1, len(w) - window + 1) if w else 0):
-            found.setdefault(b" ".join(w[k : k + window]), set()).add(key)
+            found.setdefault(b" ".join(w[k : k + window]), set()).update([] if key is None else [key])
     return [(k, sorted(v, key=str)) for k, v in sorted(found.items())]
 
 
@@ -96,8 +90,8 @@ def _patterns(benchmark: DataFrame, window: int, item_col: str, text_col: str):
     """The windows as a broadcast variable. The benchmark is the stated query set: a table of questions, not of documents;
     its size is checked before it comes to the driver."""
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
-    if size > 256_000_000:
-        raise ValueError(f"a benchmark of {size} bytes is no set of test questions; split it and scan once for each part")
+    if size > BENCHMARK_BYTES:
+        raise ValueError(f"a benchmark of {size} bytes is over {BENCHMARK_BYTES}; split it and scan once for each part")
     rows = windows([tuple(r) for r in benchmark.select(item_col, text_col).collect()], window)
     digest = hashlib.sha256(repr((window, rows)).encode()).hexdigest()
     return digest, benchmark.sparkSession.sparkContext.broadcast(rows)

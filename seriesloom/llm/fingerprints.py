@@ -7,7 +7,8 @@ frames and bins; every peak is paired with the next peaks in a target zone. A
 pair (f1, f2, dt) is one 32-bit code stored with the frame of its first peak.
 
 Payloads of any length work: frames are transformed in blocks, so memory does
-not grow with a text. Silence (a constant signal) has no peaks and no pairs.
+not grow with a text. Each frame is taken without its mean, so that the level of a
+signal makes no peaks: silence (any constant signal) has no peaks and no pairs.
 Equal payloads have equal features. Null texts are empty texts.
 """
 
@@ -62,7 +63,8 @@ def _spectra(samples: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         samples = np.pad(samples, (0, FRAME - len(samples)))
     frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP]
     for k in range(0, len(frames), _BLOCK):
-        part = frames[max(0, k - NEAR_FRAMES) : k + _BLOCK + NEAR_FRAMES].astype(np.float32) - np.float32(128)
+        part = frames[max(0, k - NEAR_FRAMES) : k + _BLOCK + NEAR_FRAMES].astype(np.float32)
+        part -= part.mean(axis=1, keepdims=True)
         yield k, np.abs(np.fft.rfft(part * _HANN, axis=1)).astype(np.float32)
 
 
@@ -79,7 +81,7 @@ def _widest(x: np.ndarray, reach: int, axis: int) -> np.ndarray:
 
 
 def peaks(samples: np.ndarray, floor: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-    """(frame, bin) of all peaks in order of time; equal neighbours: the earliest frame, then the lowest bin."""
+    """(frame, bin) of all peaks in order of time, then of frequency; neighbours that are equally large are all peaks."""
     times, bins = [], []
     for k, m in _spectra(samples):
         top = (m >= _widest(_widest(m, NEAR_BINS, 1), NEAR_FRAMES, 0)) & (m > floor)

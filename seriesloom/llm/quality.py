@@ -6,11 +6,14 @@ normalised difference of the sizes, as a whole and over the windows, and the two
 ratios go through a logistic curve fitted on labelled rows that the dictionaries
 have not seen, which makes the score a probability of label 1.
 
-Fitting collects a bounded sample: at most ``max_rows`` rows of each label, the
-first in the order of a hash of their id, and ``max_bytes`` characters of each.
-Scoring reads every text whole. Rows without label, text or id are not learnt
-from. With no rows of one label the score is constant: the share of good rows,
-with one more row of each. Null and empty texts are scored as the empty text.
+Fitting collects a bounded sample of whole texts: the first ids of each label in
+the order of a hash, at most ``max_rows`` and as many as ``max_chars`` characters
+hold. The sample may have another share of good rows than the labels; the curve's
+intercept is shifted back by the difference of the log odds. Scoring reads every
+text whole. Rows without label, text or id are not learnt from, nor are ids whose
+labels differ; an id of several rows gives one text, the smallest. With fewer than
+two rows of one label the score is constant: the share of good rows, with one more
+row of each. Null and empty texts are scored as the empty text.
 """
 
 from __future__ import annotations
@@ -22,12 +25,14 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import quoted
+
 WINDOW = 2048
 MAX_ROWS = 4000
-MAX_BYTES = 16_384
+MAX_CHARS = 32_000_000
 DICTIONARY_BYTES = 112_640
 LEVEL = 3
 
@@ -106,24 +111,27 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 40
     return w
 
 
-def fit_rows(rows: list[tuple[str, int]], dictionary_bytes: int = DICTIONARY_BYTES) -> CompressionModel:
-    """Learns from (text, label) rows: even places train the dictionaries, odd ones the curve."""
+def fit_rows(rows: list[tuple[str, int]], dictionary_bytes: int = DICTIONARY_BYTES, of_all: tuple[int, int] | None = None) -> CompressionModel:
+    """Learns from (text, label) rows: even places train the dictionaries, odd ones the curve. of_all: how many good and bad
+    rows there are where the rows are a sample of another share."""
     texts = {k: [t.encode() for t, y in rows if y == k] for k in (1, 0)}
     n1, n0 = len(texts[1]), len(texts[0])
-    model = CompressionModel(b"", b"", prior=(n1 + 1) / (n1 + n0 + 2), key=uuid.uuid4().hex)
+    model = CompressionModel(b"", b"", key=uuid.uuid4().hex)
+    good, bad = of_all or (n1, n0)
+    model.prior = (good + 1) / (good + bad + 2)
     if min(n1, n0) < 2:
         return model
     # Lines that good texts have too say nothing against a text.
     shared = {line for t in texts[1] for line in t.split(b"\n") if len(line) > 8}
-    bad = [b"\n".join([line for line in t.split(b"\n") if line not in shared]) for t in texts[0][::2]]
-    model.good, model.bad = train_dictionary(texts[1][::2], dictionary_bytes), train_dictionary(bad, dictionary_bytes)
+    worse = [b"\n".join([line for line in t.split(b"\n") if line not in shared]) for t in texts[0][::2]]
+    model.good, model.bad = train_dictionary(texts[1][::2], dictionary_bytes), train_dictionary(worse, dictionary_bytes)
     scorer = model.scorer()
     x = np.array([scorer.features(t.decode()) for k in (1, 0) for t in texts[k][1::2]])
     y = np.array([k for k in (1, 0) for _ in texts[k][1::2]], dtype=float)
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
     model.mean, model.scale = mean.tolist(), scale.tolist()
-    # Each label is weighted by its share in the sample's source through n1 and n0, as drawn.
     model.weights = _logistic((x - mean) / scale, y).tolist()
+    model.weights[0] += float(np.log(good / bad) - np.log(y.sum() / (len(y) - y.sum())))
     return model
 
 
@@ -132,15 +140,20 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> CompressionModel:
-    """Fits on labelled rows that are not held out, at most ``max_rows`` of each label."""
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("id").isNotNull() & ~held_out(F.col("id")))
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> CompressionModel:
+    """Fits on labelled rows that are not held out, at most ``max_rows`` and ``max_chars`` characters of each label."""
+    known = labels.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(label_col)).cast("int").alias("y")).where("y in (0, 1)")
+    known = known.where(F.col("id").isNotNull() & ~held_out(F.col("id")))
+    known = known.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("top")).where("y = top").select("id", "y")
+    counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     drawn = [known.where(F.col("y") == k).orderBy(F.xxhash64("id"), "id").limit(max_rows) for k in (1, 0)]
     sample = drawn[0].unionByName(drawn[1])
-    texts = docs.select(F.col(id_col).alias("id"), F.substring(text_col, 1, max_bytes).alias("text")).where(F.col("text").isNotNull())
-    rows = texts.join(F.broadcast(sample), "id").select("id", "text", "y").collect()  # at most 2 x max_rows labels are broadcast
-    rows.sort(key=lambda r: (str(r["id"]), r["text"], r["y"]))
-    return fit_rows([(r["text"], r["y"]) for r in rows])
+    texts = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")).where("text is not null")
+    one = texts.join(F.broadcast(sample), "id").groupBy("id", "y").agg(F.min("text").alias("text"))  # at most 2 x max_rows labels are broadcast
+    so_far = F.sum(F.length("text")).over(Window.partitionBy("y").orderBy(F.xxhash64("id"), "id"))  # over the sample
+    rows = one.withColumn("so_far", so_far).where(F.col("so_far") <= max_chars).select("id", "text", "y").collect()
+    rows.sort(key=lambda r: (str(r["id"]), r["y"]))
+    return fit_rows([(r["text"], r["y"]) for r in rows], of_all=(counts.get(1, 0), counts.get(0, 0)))
 
 
 _SCORERS: dict[str, Scorer] = {}

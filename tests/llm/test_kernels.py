@@ -79,12 +79,11 @@ def test_windows_as_by_brute_force():
     for _ in range(150):
         items = [(k, rnd.choice([" ", ", ", "\n"]).join(word() for _ in range(rnd.choice([0, 1, 2, 3, 5, 8])))) for k in range(3)]
         doc = " ".join(word() for _ in range(rnd.randrange(25)))
-        for block in (1, 10**6):
-            scanner = contamination.WindowScanner(contamination.windows(items, 4), block)
-            words, hit, found = brute_hits(doc, items, 4)
-            mask, got = scanner.scan(text.alnum_words(doc))
-            assert (set() if mask is None else set(np.flatnonzero(mask).tolist())) == hit
-            assert got == found
+        scanner = contamination.WindowScanner(contamination.windows(items, 4))
+        words, hit, found = brute_hits(doc, items, 4)
+        mask, got = scanner.scan(text.alnum_words(doc))
+        assert (set() if mask is None else set(np.flatnonzero(mask).tolist())) == hit
+        assert got == found
 
 
 def test_words_have_only_a_to_z_lowered():

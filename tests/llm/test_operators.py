@@ -133,6 +133,33 @@ def test_held_out_quality(spark):
     assert not [c for c in (model.good, model.bad) if len(c) > quality.DICTIONARY_BYTES]
 
 
+def test_scores_are_calibrated_whatever_share_is_drawn(spark):
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    n1, n0 = (labels.where(F.col("quality") == k).count() for k in (1, 0))
+    model = quality.fit(d, labels, max_rows=min(n1, n0) // 2)  # as many of both labels
+    scored = quality.score_documents(d, model).join(labels, "doc_id").where(quality.held_out(F.col("doc_id"))).toPandas()
+    assert abs(scored["score"].mean() - scored["quality"].mean()) < 0.03
+    for low, high in ((0, 0.3), (0.3, 0.9), (0.9, 1.01)):
+        some = scored[(scored["score"] >= low) & (scored["score"] < high)]
+        if len(some) >= 30:
+            assert abs(some["score"].mean() - some["quality"].mean()) < 0.15
+
+
+def test_the_sample_is_bounded_whatever_repeats(spark):
+    docs = spark.createDataFrame([(1, "good text " * 50), *[(1, "other")] * 300, (2, "bad text " * 50), (3, None), (None, "x"), (8, "y" * 9000)], "doc_id bigint, text string, lang string".replace(", lang string", ""))
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 1), (None, 1), (8, 1), (8, 0), (9, 7)], "doc_id bigint, quality int")
+    kept, original = [], quality.fit_rows
+    try:
+        quality.fit_rows = lambda rows, **k: kept.append((rows, k)) or original(rows, **k)
+        quality.fit(docs, labels, max_chars=5000)
+    finally:
+        quality.fit_rows = original
+    rows, more = kept[0]
+    held = {k for k in (1, 2, 3) if zlib.crc32(str(k).encode()) % 4 == 2}
+    assert sorted(rows) == sorted(x for k, x in ((1, ("good text " * 50, 1)), (2, ("bad text " * 50, 0))) if k not in held)
+    assert more["of_all"] == (len({1, 3} - held), len({2} - held))
+
+
 def jaccard_by_hand(rows, size, percent):
     sets = {i: set(jaccard_join.element_set(t, size).tolist()) for i, t in rows}
     root = {i: i for i in sets}
@@ -497,6 +524,34 @@ def test_media_table_holds_its_payload(spark):
     assert (c["n_bytes"], c["codes"]) == (0, [])
 
 
+@pytest.mark.parametrize("level", [0, 32, 97, 128, 255])
+def test_silence_has_no_pairs(level):
+    assert [len(x) for x in fingerprints.fingerprint(np.full(6400, level, np.uint8))] == [0, 0]
+
+
+def test_peaks_and_pairs_as_by_brute_force():
+    x = np.random.default_rng(2).integers(0, 256, 4096).astype(np.uint8)
+    frames = [x[k : k + 256].astype(np.float32) for k in range(0, len(x) - 255, 128)]
+    m = np.array([np.abs(np.fft.rfft((f - f.mean()) * fingerprints._HANN)).astype(np.float32) for f in frames])
+    peaks = [(t, f) for t in range(m.shape[0]) for f in range(m.shape[1]) if m[t, f] > 1 and m[t, f] >= m[max(0, t - 3) : t + 4, max(0, f - 8) : f + 9].max()]
+    got = fingerprints.peaks(x)
+    assert list(zip(*(a.tolist() for a in got))) == peaks and len(peaks) > 20
+    pairs = []
+    for k, (t, f) in enumerate(peaks):
+        later = [(u, g) for u, g in peaks[k + 1 :] if u > t][:3]
+        pairs += [(t, f << 20 | g << 8 | (u - t)) for u, g in later if u - t <= 24]
+    assert sorted(zip(*(a.tolist() for a in fingerprints.fingerprint(x)))) == sorted(pairs)
+
+
+def test_an_item_without_id_is_found_but_not_named(spark):
+    docs = spark.createDataFrame([(1, "one two three four")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(None, "two three"), (7, "four"), (None, None)], "item_id bigint, text string")
+    r = contamination.contamination_report(docs, bench).first()
+    assert (r["n_hit"], r["n_items"], r["contaminated"]) == (3, 1, True)
+    with pytest.raises(ValueError, match="split it"):
+        contamination.contamination_report(docs, bench.select("item_id", F.repeat(F.lit("x"), contamination.BENCHMARK_BYTES).alias("text")))
+
+
 def test_queries_have_one_name_each():
     assert [n.split("_")[0] for n in queries.queries()] == [f"op{k}" for k in range(1, 11)]
     assert set(queries.oracle_sql()) <= set(queries.queries())
