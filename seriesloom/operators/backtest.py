@@ -63,7 +63,7 @@ def summary(equity: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def compare(df: DataFrame, signals: dict[str, str], p: Params = DEFAULTS) -> DataFrame:
-    """Summaries of several signals in one plan: rows are unpivoted to one series for each key and strategy."""
+    """Summaries of several signals in one plan, the best of a series first: rows are unpivoted to one series for each key and strategy."""
     if "returns" not in df.columns:
         df = df.withColumn("returns", change("price"))
     pairs = F.array(*[F.struct(F.lit(name).alias("name"), F.col(c).cast("double").alias("signal")) for name, c in signals.items()])
@@ -72,7 +72,8 @@ def compare(df: DataFrame, signals: dict[str, str], p: Params = DEFAULTS) -> Dat
     equity = with_equity(long, "signal", p)
     out = summary(equity, trades(equity, p))
     parts = F.from_json(KEY, f"{KEY} string, name string")
-    return out.select(parts[KEY].alias("_key"), parts["name"].alias(STRATEGY), *[c for c in out.columns if c != KEY]).withColumnRenamed("_key", KEY)
+    out = out.select(parts[KEY].alias("_key"), parts["name"].alias(STRATEGY), *[c for c in out.columns if c != KEY]).withColumnRenamed("_key", KEY)
+    return out.orderBy(KEY, F.col("total_return").desc_nulls_last(), STRATEGY)
 
 
 def with_dated_weights(df: DataFrame, weights: DataFrame, signals: list[str], p: Params = DEFAULTS) -> DataFrame:

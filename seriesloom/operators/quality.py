@@ -54,6 +54,13 @@ def spikes(df: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     return out.select(KEY, "count", share(F.col("count"), F.col("_n")).alias("percentage"), "max_move", severity.alias("severity"))
 
 
+def largest_moves(df: DataFrame, n: int = 3) -> DataFrame:
+    """The n largest changes of each series by size, with their sign; of equal ones the earliest."""
+    df = df.withColumn("change_pct", ratio(F.col("price") - lag("price"), lag("price")) * 100).where("change_pct is not null")
+    w = Window.partitionBy(KEY).orderBy(F.abs("change_pct").desc(), "timestamp", "seq")
+    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select(KEY, "rank", "timestamp", "change_pct")
+
+
 def time_gaps(df: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """Gaps over ``gap_factor`` times the most frequent step; of equally frequent steps the smallest, else a minute."""
     seconds = F.unix_micros("timestamp") - F.unix_micros(lag("timestamp"))

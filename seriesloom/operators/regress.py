@@ -184,11 +184,12 @@ def univariate(df: DataFrame, features: list[str], target: str = TARGET, p: Para
 
 
 def compare_kinds(df: DataFrame, features: list[str], kinds: tuple[str, ...] = ("linear", "polynomial"), target: str = TARGET, p: Params = DEFAULTS) -> DataFrame:
+    """Metrics of each kind, the best of a series on its test part first."""
     out = None
     for kind in kinds:
         one = train_test(df, features, kind, target, p)[0].withColumn("method", F.lit(kind))
         out = one if out is None else out.unionByName(one)
-    return out
+    return out.orderBy(KEY, F.col("test_r2").desc_nulls_last(), "method")
 
 
 def logistic(df: DataFrame, features: list[str], target: str = TARGET):

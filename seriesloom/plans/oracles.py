@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..params import DEFAULTS
+from . import regress_sql
 from .queries import FEATURES, NUDGE, ORDERS, REGRESSORS
 
 _W = "PARTITION BY series_key ORDER BY timestamp NULLS LAST, seq"
@@ -205,6 +206,17 @@ def oracle_sql() -> dict[str, str]:
         "ch_monthly_pivot": f"WITH {_DAILY}, a AS (SELECT *, {_change()} AS r FROM base), m AS (SELECT series_key, CAST(year(timestamp) AS INTEGER) AS year, month(timestamp) AS month, (product(1 + r) - 1) * 100 AS r FROM a WHERE r IS NOT NULL GROUP BY 1, 2, 3) SELECT series_key, year, " + ", ".join(f"{_r(f'max(r) FILTER (month = {k})')} AS m{k}" for k in range(1, 13)) + " FROM m GROUP BY 1, 2",
         "ch_corr_matrix": f"WITH {_FEATURED} " + " UNION ALL ".join(f"SELECT series_key, '{b}' AS x, '{a}' AS y, {_r(f'corr({a}, {b})')} AS correlation FROM f7 GROUP BY 1" for k, a in enumerate(REGRESSORS) for b in REGRESSORS[k + 1 :]),
     }
+    q |= regress_sql.twins(_FEATURED, _W, REGRESSORS, _r)
+    every = [c for columns in FEATURES.values() for c in columns]
+    dated = q["m_drawdown"].replace(f"{_SIGNALS}, {_equity('signal_mean_reversion')}", f"{_DAILY}, equity AS (SELECT *, {_change()} AS strategy_returns_net FROM base)")
+    q |= {
+        "src_standardized": f"SELECT 'ALL' AS series_key, CAST(0 AS BIGINT) AS seq, o_orderdate AS timestamp, {_r('o_totalprice')} AS price FROM orders",
+        "feat_complete": f"WITH {_FEATURED} SELECT series_key, timestamp, {_r('price')} AS price, {_r('rsi')} AS rsi, signal FROM f7 WHERE price IS NOT NULL AND " + " AND ".join(f"{c} IS NOT NULL" for c in every),
+        "clean_violations": f"WITH {_RAW}, a AS (SELECT *, timestamp <= {_lag('timestamp')} AS again FROM base) SELECT series_key, count(*) FILTER (timestamp IS NULL) AS null_timestamps, count(*) FILTER (price IS NULL) AS null_prices, count(*) FILTER (price <= 0) AS non_positive, count(*) FILTER (again) AS repeated_times FROM a GROUP BY 1",
+        "q_largest_moves": f"WITH {_DAILY}, a AS (SELECT *, {_change()} * 100 AS c FROM base), b AS (SELECT *, row_number() OVER (PARTITION BY series_key ORDER BY abs(c) DESC, timestamp, seq) AS rank FROM a WHERE c IS NOT NULL) SELECT series_key, CAST(rank AS INTEGER) AS rank, timestamp, {_r('c')} AS change_pct FROM b WHERE rank <= 3",
+        "ch_price_signals": f"WITH {_FEATURED} SELECT series_key, timestamp, {_r('price')} AS price, {_r('ma_20')} AS ma_20, CASE signal WHEN 1 THEN 'LONG' WHEN -1 THEN 'SHORT' END AS marker FROM f7",
+        "m_all": f"SELECT * FROM ({q['m_returns']}) JOIN ({q['m_risk']}) USING (series_key) JOIN ({dated}) USING (series_key)",
+    }
     full = q["clean_full"]
     q["clean_report"] = f"WITH {_RAW}, done AS ({full}) SELECT series_key, original_rows, final_rows, original_rows - final_rows AS removed, {_r('final_rows * 100.0 / original_rows')} AS retention_pct FROM (SELECT series_key, count(*) AS original_rows FROM base GROUP BY 1) JOIN (SELECT series_key, count(*) AS final_rows FROM done GROUP BY 1) USING (series_key)"
     return q

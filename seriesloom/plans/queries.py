@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import KEY
 from ..operators import backtest, catalogue, chartdata, clean, features, metrics, quality, regress, signals, summary
 from ..params import Params
-from ..sources.series import daily, raw_orders, tick
+from ..sources.series import as_series, daily, parse_timestamps, raw_orders, standardize_columns, table, tick
 
 #: Bounds that fit the order prices of the test tables.
 ORDERS = Params(min_price=1_000.0, max_price=450_000.0, outlier_z=1.6, spike_pct=50.0)
@@ -85,6 +85,12 @@ def _benchmark(s: SparkSession, d: str) -> DataFrame:
     return finish(metrics.benchmark_metrics(df, mean), 4)
 
 
+def _standardized(s: SparkSession, d: str) -> DataFrame:
+    """A raw table with other names and times as text, made a series."""
+    raw = table(s, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias(" Date "), F.col("o_totalprice").alias("Last_Price"))
+    return finish(as_series(parse_timestamps(standardize_columns(raw))), 4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "daily_summary": lambda s, d: finish(catalogue.daily_summary(tick(s, d))),
@@ -133,6 +139,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "reg_univariate": lambda s, d: finish(regress.univariate(featured(s, d), REGRESSORS), 4),
         "reg_walk_forward": lambda s, d: finish(regress.walk_forward(featured(s, d), REGRESSORS)[0], 4),
         "reg_compare": lambda s, d: finish(regress.compare_kinds(featured(s, d), REGRESSORS), 4),
+        "reg_importance": lambda s, d: finish(regress.importance(regress.train_test(featured(s, d), REGRESSORS)[1]), 4),
+        "reg_weights": lambda s, d: finish(regress.walk_forward(featured(s, d), REGRESSORS)[1], 4),
+        "src_standardized": _standardized,
+        "feat_complete": lambda s, d: finish(features.all_features(daily(s, d)).select(KEY, "timestamp", "price", "rsi", "signal"), 4),
+        "clean_violations": lambda s, d: clean.violations(raw_orders(s, d)),
+        "q_largest_moves": lambda s, d: finish(quality.largest_moves(daily(s, d)), 4),
+        "ch_price_signals": lambda s, d: finish(chartdata.price_and_signals(featured(s, d), "signal"), 4),
+        "m_all": lambda s, d: finish(metrics.all_metrics(features.add_returns(daily(s, d))), 4),
         "describe": lambda s, d: finish(summary.describe(featured(s, d), ["price", "returns", "rsi", "z_score"]), 4),
         "key_figures": lambda s, d: finish(summary.key_figures(featured(s, d)), 4),
         "clean_report": lambda s, d: finish(clean.cleaning_report(raw_orders(s, d), clean.clean(raw_orders(s, d), ORDERS)), 4),
