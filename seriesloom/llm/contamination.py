@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import kept_by_text
 from .text import alnum_words
 
 WINDOW = 10
@@ -133,10 +134,4 @@ def contamination_report(
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The documents in which no window of the benchmark occurs, with all their columns."""
     key, patterns = _patterns(benchmark, window, item_col, item_text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = _scanner(key, patterns)
-        for b in batches:
-            yield b.filter(pa.array([scanner.scan(alnum_words(t))[0] is None for t in b.column(text_col).to_pylist()], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    return kept_by_text(docs, text_col, lambda texts: [_scanner(key, patterns).scan(alnum_words(t))[0] is None for t in texts])

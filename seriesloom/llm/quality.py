@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import quoted
+from .shared import kept_by_text, quoted
 
 WINDOW = 2048
 MAX_ROWS = 4000
@@ -181,10 +181,4 @@ def score_documents(docs: DataFrame, model: CompressionModel, threshold: float =
 
 def keep_good(docs: DataFrame, model: CompressionModel, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
     """The documents whose score reaches the threshold, with all their columns."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(model)
-        for b in batches:
-            yield b.filter(pa.array(scorer.scores(b.column(text_col).to_pylist()) >= threshold, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    return kept_by_text(docs, text_col, lambda texts: _scorer(model).scores(texts) >= threshold)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: With this, a write drops its shuffle files when it ends.
@@ -16,6 +18,18 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def kept_by_text(docs: DataFrame, text_col: str, test: Callable[[list[str | None]], Sequence[bool]]) -> DataFrame:
+    """The rows, with all their columns, whose texts pass a test, which gets the texts of a batch; columns may have any name."""
+    at = docs.columns.index(text_col)
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(test(b.column(at).to_pylist()), pa.bool_()))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new path under ``spark.checkpoint.dir``. Where that is unset, a local session, as in tests, gets a temporary
     folder; on a cluster that is an error, since executors would each write to a disk of their own."""
