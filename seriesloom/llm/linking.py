@@ -78,8 +78,9 @@ def link_groups(
     scratch = Scratch(keyed.sparkSession)
     dealt = keyed.select("key", "id").repartition("key")
     shared = dealt.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last")
-    # Grouping and join read the same shuffle: both need rows of a key together, and nothing else.
-    rows = scratch.write(dealt.join(shared.select("key", "pivot"), "key").distinct())
+    # Grouping and join read the same shuffle: both need rows of a key together, and nothing else. Few keys are shared, one
+    # row each, so a hash join spares sorting all rows.
+    rows = scratch.write(dealt.join(shared.select("key", "pivot").hint("shuffle_hash"), "key").distinct())
     found = scratch.write(features(rows.select("id").distinct()))
     names = [c for c in found.columns if c not in ("id", *hidden)]
     count = found.count()
