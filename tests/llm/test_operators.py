@@ -327,6 +327,24 @@ def test_choices_of_blocks_cover_the_edits_they_are_for():
             assert any(set(c) <= set(left) for c in choices)
 
 
+def test_distance_by_words_is_never_under_the_edit_distance(spark):
+    rnd = random.Random(8)
+
+    def line():
+        return " ".join(rnd.choices(["a", "bb", "ccc", "dddd", "ab", "bc", ""], k=rnd.randrange(1, 7)))
+
+    rows = [(line(), line()) for _ in range(1500)]
+    rows += [("a b c d e f", "a b f"), ("b c", "a b c"), ("a b", "a b c d"), ("x" * 3000, "y" * 3000)]
+    for r in line_dedup._by_words(spark.createDataFrame(rows, "x string, y string").withColumn("most", F.lit(50))).collect():
+        exact = distance(r["x"], r["y"])
+        assert r["bound"] >= exact
+        x, y = r["x"].split(" "), r["y"].split(" ")
+        if len(x) == len(y) and sum(v != w for v, w in zip(x, y, strict=True)) == 1 and exact <= 50:
+            assert r["bound"] == exact
+    got = {(r["x"], r["y"]): r["bound"] for r in line_dedup._by_words(spark.createDataFrame(rows[-4:-1], "x string, y string").withColumn("most", F.lit(50))).collect()}
+    assert list(got.values()) == [6, 2, 4]
+
+
 def edited(line, kind, rnd, vocabulary):
     w = line.split(" ")
     for _ in range(int(kind[0])):
