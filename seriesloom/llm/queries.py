@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, contamination, fingerprints, jaccard_join, license_scan, line_dedup, ngram_scores, quality, token_blocks, trie_counts
+from . import bpe_codec, contamination, fingerprints, jaccard_join, license_scan, line_dedup, ngram_scores, quality, shard_map, token_blocks, trie_counts, turn_repair, twins, vector_codes
 from .shared import shared_folder
 
 
@@ -61,6 +61,19 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_read(spark, sf_dir, "documents"))
 
 
+def op11_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_map.shard_documents(_read(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.product_codes(vector_codes.whole_vectors(_read(spark, sf_dir, "embeddings")))
+    return vector_codes.with_label_error(coded, books)
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair_report(turn_repair.damaged(_read(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_blocks": op1_token_blocks,
@@ -73,6 +86,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe_codec": op8_bpe_codec,
         "op9_ngram_scores": op9_ngram_scores,
         "op10_jaccard_join": op10_jaccard_join,
+        "op11_jump_shards": op11_jump_shards,
+        "op12_vector_codes": op12_vector_codes,
+        "op13_turn_repair": op13_turn_repair,
     }
 
 
@@ -114,4 +130,11 @@ SELECT reach.a AS doc_id, coalesce(max(size.n), 0) AS n_shingles, min(reach.b) A
 
 def oracle_sql() -> dict[str, str]:
     """SQL twins of the queries that SQL can say; tests hold the others against brute force, round trips or held-out labels."""
-    return {"op3_decontamination": _OP3, "op9_ngram_scores": _OP9, "op10_jaccard_join": _OP10}
+    return {
+        "op3_decontamination": _OP3,
+        "op9_ngram_scores": _OP9,
+        "op10_jaccard_join": _OP10,
+        "op11_jump_shards": twins.shards(),
+        "op12_vector_codes": twins.vector_code_rows(),
+        "op13_turn_repair": twins.repaired_conversations(),
+    }
