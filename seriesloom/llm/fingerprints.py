@@ -7,9 +7,14 @@ frames and bins; every peak is paired with the next peaks in a target zone. A
 pair (f1, f2, dt) is one 32-bit code stored with the frame of its first peak.
 
 Payloads of any length work: frames are transformed in blocks, so memory does
-not grow with a text. Each frame is taken without its mean, so that the level of a
-signal makes no peaks: silence (any constant signal) has no peaks and no pairs.
-Equal payloads have equal features. Null texts are empty texts.
+not grow with a text. A signal is held at its last sample until every sample
+lies in two frames, so it has two frames or more. Each frame is taken without its
+mean, so that the level of a signal makes no peaks: silence (any constant signal)
+has no peaks and no pairs. Beside the pairs each hop of samples has its power, a
+whole number that any change of one sample changes.
+Equal payloads have equal features. Null texts are empty texts, repeated rows have
+a row each, an empty table gives an empty one, and other columns of any name are
+left out.
 """
 
 from __future__ import annotations
@@ -29,8 +34,8 @@ RATE = 8000
 FRAME, HOP = 256, 128
 #: A peak is the largest of this many frames and bins on each side.
 NEAR_FRAMES, NEAR_BINS = 3, 8
-#: Pairs of a peak: at most so many, with later peaks this many frames away.
-FAN, ZONE = 3, (1, 24)
+#: Pairs of a peak: with so many next ones (of its frame those of higher bins, then later frames), at most this many frames away.
+FAN, ZONE = 3, 24
 _BLOCK = 4096
 _HANN = np.hanning(FRAME + 1)[:-1].astype(np.float32)
 
@@ -59,8 +64,7 @@ def padded(text: str | None, unit: int = 64) -> tuple[bytes, int]:
 
 def _spectra(samples: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(first frame, magnitudes of up to _BLOCK frames with NEAR_FRAMES more on each side that exists)."""
-    if len(samples) < FRAME:
-        samples = np.pad(samples, (0, FRAME - len(samples)))
+    samples = np.pad(samples, (0, -len(samples) % HOP + FRAME), mode="edge")
     frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP]
     for k in range(0, len(frames), _BLOCK):
         part = frames[max(0, k - NEAR_FRAMES) : k + _BLOCK + NEAR_FRAMES].astype(np.float32)
@@ -94,42 +98,52 @@ def peaks(samples: np.ndarray, floor: float = 1.0) -> tuple[np.ndarray, np.ndarr
 
 
 def fingerprint(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(frame of the first peak, code f1 << 20 | f2 << 8 | dt) of all pairs, in order of time."""
+    """(frame of the first peak, code f1 << 20 | f2 << 8 | dt) of all pairs, in order of time; a lone peak is its own partner."""
     t, f = peaks(samples)
     n = len(t)
-    if n < 2:
+    if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    first = np.searchsorted(t, t + ZONE[0])  # peaks are sorted by frame
+    if n == 1:
+        return t, f.astype(np.int64) << 20 | f.astype(np.int64) << 8
     at, code = [], []
     for j in range(FAN):
-        k = first + j
+        k = np.arange(n) + j + 1  # peaks are sorted by frame, then by bin
         ok = k < n
-        dt = np.where(ok, t[np.minimum(k, n - 1)] - t, ZONE[1] + 1)
-        ok &= dt <= ZONE[1]
+        dt = np.where(ok, t[np.minimum(k, n - 1)] - t, ZONE + 1)
+        ok &= dt <= ZONE
         at.append(np.flatnonzero(ok))
         code.append((f[ok].astype(np.int64) << 20) | (f[k[ok]].astype(np.int64) << 8) | dt[ok])
     order = np.argsort(np.concatenate(at), kind="stable")
     return t[np.concatenate(at)[order]], np.concatenate(code)[order]
 
 
+def powers(samples: np.ndarray) -> np.ndarray:
+    """Sum of squares of each hop of samples, the last one filled up with zeros."""
+    x = np.pad(samples.astype(np.int64), (0, -len(samples) % HOP))
+    return (x * x).reshape(-1, HOP).sum(axis=1)
+
+
 def media_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, media binary, frames array<int>, codes array<int>): the stored form and its fingerprint."""
+    """(doc_id, n_bytes, media binary, frames array<int>, codes array<int>, powers array<int>): the stored form, its
+    fingerprint and the power of each hop."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k, text in enumerate(b.column(1).to_pylist()):
                 payload, n = padded(text)
                 media = wav_bytes(payload)
-                t, c = fingerprint(np.frombuffer(wav_samples(media), np.uint8))
-                columns = [b.column(0).slice(k, 1), pa.array([n], pa.int64()), pa.array([media], pa.binary()), pa.array([t.astype(np.int32)], pa.list_(pa.int32())), pa.array([c.astype(np.int32)], pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "media", "frames", "codes"])
+                x = np.frombuffer(wav_samples(media), np.uint8)
+                t, c = fingerprint(x)
+                columns = [b.column(0).slice(k, 1), pa.array([n], pa.int64()), pa.array([media], pa.binary()), pa.array([t.astype(np.int32)], pa.list_(pa.int32())), pa.array([c.astype(np.int32)], pa.list_(pa.int32())), pa.array([powers(x).astype(np.int32)], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "media", "frames", "codes", "powers"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, n_bytes bigint, media binary, frames array<int>, codes array<int>")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, n_bytes bigint, media binary, frames array<int>, codes array<int>, powers array<int>")
 
 
 def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """What ``media_table`` stores, hashed where it is made; feature: pairs, frames and a hash of the time-coded array."""
+    """What ``media_table`` stores, hashed where it is made; feature: pairs, different codes, and a hash of the
+    time-coded arrays (frames, codes, powers)."""
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
@@ -140,8 +154,9 @@ def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 payload, n = padded(text)
                 media = wav_bytes(payload)
                 back = wav_samples(media)
-                t, c = fingerprint(np.frombuffer(back, np.uint8))
-                code = hashlib.sha256(t.astype("<i4").tobytes() + c.astype("<i4").tobytes()).hexdigest()[:32]
+                x = np.frombuffer(back, np.uint8)
+                t, c = fingerprint(x)
+                code = hashlib.sha256(b"".join(a.astype("<i4").tobytes() for a in (t, c, powers(x)))).hexdigest()[:32]
                 feature = f"{len(c)}:{len(np.unique(c))}:{code}"
                 rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature))
             columns = zip(*rows) if rows else [[]] * len(types)

@@ -548,19 +548,38 @@ def test_silence_has_no_pairs(level):
 
 
 def test_peaks_and_pairs_as_by_brute_force():
-    x = np.random.default_rng(2).integers(0, 256, 4096).astype(np.uint8)
-    frames = [x[k : k + 256].astype(np.float32) for k in range(0, len(x) - 255, 128)]
+    x = np.random.default_rng(2).integers(0, 256, 4000).astype(np.uint8)
+    held = np.concatenate([x, np.full(96 + 256, x[-1])])  # to a whole number of hops and a frame more
+    frames = [held[k : k + 256].astype(np.float32) for k in range(0, len(held) - 255, 128)]
     m = np.array([np.abs(np.fft.rfft((f - f.mean()) * fingerprints._HANN)).astype(np.float32) for f in frames])
     peaks = [(t, f) for t in range(m.shape[0]) for f in range(m.shape[1]) if m[t, f] > 1 and m[t, f] >= m[max(0, t - 3) : t + 4, max(0, f - 8) : f + 9].max()]
     got = fingerprints.peaks(x)
     assert list(zip(*(a.tolist() for a in got))) == peaks and len(peaks) > 20
     pairs = []
     for k, (t, f) in enumerate(peaks):
-        later = [(u, g) for u, g in peaks[k + 1 :] if u > t][:3]
-        pairs += [(t, f << 20 | g << 8 | (u - t)) for u, g in later if u - t <= 24]
+        pairs += [(t, f << 20 | g << 8 | (u - t)) for u, g in peaks[k + 1 : k + 4] if u - t <= 24]
     assert sorted(zip(*(a.tolist() for a in fingerprints.fingerprint(x)))) == sorted(pairs)
 
 
+@pytest.mark.parametrize("tail", [0, 64])
+def test_every_byte_of_a_payload_reaches_its_feature(spark, tail):
+    rng = random.Random(tail)
+    texts = []
+    for size in [*range(1, 130), 448 + tail, 576 + tail, 2112 + tail, 5000]:
+        text = "".join(rng.choice("abcdefgh ") for _ in range(size))
+        texts += [text, text[:-1] + "z", "z" + text[1:]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["feature"] for r in fingerprints.media_digests(df).collect()}
+    for k in range(0, len(texts), 3):
+        assert all((texts[k] == texts[k + j]) == (got[k] == got[k + j]) for j in (1, 2)), texts[k]
+
+
+def test_no_text_but_silence_has_no_pairs(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    empty = [r["text"] for r in fingerprints.media_table(docs).join(docs, "doc_id").where("size(codes) = 0").collect()]
+    assert all(not t for t in empty)
+
+
 def test_an_item_without_id_is_found_but_not_named(spark):
     docs = spark.createDataFrame([(1, "one two three four")], "doc_id bigint, text string")
     bench = spark.createDataFrame([(None, "two three"), (7, "four"), (None, None)], "item_id bigint, text string")
@@ -571,5 +590,5 @@ def test_an_item_without_id_is_found_but_not_named(spark):
 
 
 def test_queries_have_one_name_each():
-    assert [n.split("_")[0] for n in queries.queries()] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.queries()] == [f"op{k}" for k in range(1, 14)]
     assert set(queries.oracle_sql()) <= set(queries.queries())
