@@ -11,8 +11,8 @@ from ..params import DEFAULTS, Params
 STRATEGY = "strategy"
 
 
-def with_equity(df: DataFrame, signal: str, p: Params = DEFAULTS) -> DataFrame:
-    """position is the row before's signal; net returns exist where the position before is known."""
+def with_positions(df: DataFrame, signal: str, p: Params = DEFAULTS) -> DataFrame:
+    """position is the row before's signal; net returns exist where the position before is known. Looks two rows back."""
     if signal not in df.columns:
         raise ValueError(f"no signal column {signal!r}")
     if "returns" not in df.columns:
@@ -20,7 +20,11 @@ def with_equity(df: DataFrame, signal: str, p: Params = DEFAULTS) -> DataFrame:
     df = df.withColumn("position", lag(signal).cast("double"))
     df = df.withColumn("position_change", F.abs(F.col("position") - lag("position")))
     df = df.withColumns({"strategy_returns": F.col("position") * F.col("returns"), "transaction_costs": F.col("position_change") * (p.total_cost_bps / 10_000)})
-    df = df.withColumn("strategy_returns_net", F.col("strategy_returns") - F.col("transaction_costs"))
+    return df.withColumn("strategy_returns_net", F.col("strategy_returns") - F.col("transaction_costs"))
+
+
+def with_equity(df: DataFrame, signal: str, p: Params = DEFAULTS) -> DataFrame:
+    df = with_positions(df, signal, p)
     return df.withColumns({"cum_strategy_returns": compounded("strategy_returns_net"), "cum_buy_hold": compounded("returns")})
 
 
@@ -32,10 +36,21 @@ def trades(equity: DataFrame, p: Params = DEFAULTS, strict: bool = False) -> Dat
     """
     position = F.col("position") if strict else F.coalesce("position", F.lit(0.0))
     df = equity.select(KEY, "seq", "timestamp", "price", position.alias("position"))
+    return _logged(with_exits(position_starts(df)), p)
+
+
+def position_starts(df: DataFrame) -> DataFrame:
+    """The first row of each run of one position; a missing position is a run of its own. Looks one row back."""
     before = lag("position")
     start = (F.row_number().over(series_window()) == 1) | F.col("position").isNull() | before.isNull() | (F.col("position") != before)
-    runs = df.withColumn("_start", start).where("_start")
-    runs = runs.withColumns({"exit_time": lead("timestamp"), "exit_price": lead("price")})
+    return df.withColumn("_start", start).where("_start").drop("_start")
+
+
+def with_exits(starts: DataFrame) -> DataFrame:
+    return starts.withColumns({"exit_time": lead("timestamp"), "exit_price": lead("price")})
+
+
+def _logged(runs: DataFrame, p: Params) -> DataFrame:
     runs = runs.where((F.col("position").isNull() | (F.col("position") != 0)) & F.col("exit_time").isNotNull())
     long = F.coalesce(F.col("position") == 1, F.lit(False))
     gain = F.when(long, F.col("exit_price") - F.col("price")).otherwise(F.col("price") - F.col("exit_price"))

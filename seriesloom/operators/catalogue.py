@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import KEY, change, day, lag, lead, log_ratio, ratio, roll, rows, series_window, so_far
+from ..functions.quantiles import quantiles
 from ..params import DEFAULTS, Params
 
 
@@ -59,7 +60,7 @@ def volatility_regimes(df: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     if "volatility_20" not in df.columns:
         df = df.withColumn("volatility_20", roll(F.stddev_samp, "returns", 20))
     low, high = p.regime_cuts
-    cuts = df.groupBy(KEY).agg(F.percentile("volatility_20", F.lit(low)).alias("_low"), F.percentile("volatility_20", F.lit(high)).alias("_high"))
+    cuts = quantiles(df, {"_low": ("volatility_20", low), "_high": ("volatility_20", high)}, p)
     v = F.col("volatility_20")
     regime = F.when(v.isNull(), "UNKNOWN").when(v < F.col("_low"), "LOW_VOL").when(v < F.col("_high"), "MEDIUM_VOL").otherwise("HIGH_VOL")
     return df.join(cuts, KEY).groupBy(KEY, regime.alias("vol_regime")).agg(

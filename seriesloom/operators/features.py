@@ -84,29 +84,36 @@ def add_z_score(df: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     return df.withColumn("z_score", ratio(F.col("deviation"), F.col("rolling_std")))
 
 
-def add_signal(df: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """Mean reversion with a rolling regime filter that looks back only. Needs returns, averages and volatility_20."""
+def add_signal(df: DataFrame, p: Params = DEFAULTS, cut: str | None = None) -> DataFrame:
+    """Mean reversion with a rolling regime filter that looks back only. Needs returns, averages and volatility_20.
+
+    cut: a column that already holds the rolling quantile of volatility_20."""
     df = add_z_score(df, p)
     z, n = F.col("z_score"), p.regime_window
     df = df.withColumns({
         "signal_raw": sign_of(z < -p.entry_z, z > p.entry_z),
         "signal_strength": clip(-z / p.entry_z, -2, 2),
-        "_cut": roll(lambda c: F.percentile(c, p.regime_quantile), "volatility_20", n),
+        "_quiet": F.col(cut) if cut else roll(lambda c: F.percentile(c, p.regime_quantile), "volatility_20", n),
     })
-    df = df.withColumn("vol_regime_ok", flag(F.col("volatility_20") < F.col("_cut"))).drop("_cut")
+    df = df.withColumn("vol_regime_ok", flag(F.col("volatility_20") < F.col("_quiet"))).drop("_quiet")
     fast, slow = (F.col(f"ma_{n}") for n in p.ma_windows[:2])
     df = df.withColumns({"signal": F.col("signal_raw") * F.col("vol_regime_ok"), "ma_cross_signal": sign_of(fast > slow, fast < slow)})
     df = df.withColumn("signal_change", (F.col("signal") - lag("signal")).cast("double"))
     return df.withColumn("entry_signal", (~F.col("signal_change").eqNullSafe(F.lit(0.0))).cast("int"))
 
 
-def all_features(df: DataFrame, p: Params = DEFAULTS, drop_warm_up: bool = True) -> DataFrame:
-    """The 67 feature columns; rows lacking one of them go, whatever other columns hold."""
-    before = set(df.columns)
+def basic_features(df: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """All groups but the signal's."""
     df = add_returns(df)
     for step in (add_moving_averages, add_volatility, add_momentum, add_rsi, add_bands, add_price_position):
         df = step(df, p)
-    df = add_signal(add_calendar(df), p)
+    return add_calendar(df)
+
+
+def all_features(df: DataFrame, p: Params = DEFAULTS, drop_warm_up: bool = True) -> DataFrame:
+    """The 67 feature columns; rows lacking one of them go, whatever other columns hold."""
+    before = set(df.columns)
+    df = add_signal(basic_features(df, p), p)
     return df.dropna("any", subset=["timestamp", "price", *[c for c in df.columns if c not in before]]) if drop_warm_up else df
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import KEY, compounded, lag, lead, ratio, roll, rows, sample_kurtosis, sample_skew, series_window, so_far
+from ..functions.quantiles import quantiles
 from ..params import DEFAULTS, Params
 
 
@@ -27,7 +28,7 @@ def return_metrics(df: DataFrame, returns: str = "returns", p: Params = DEFAULTS
 
 def risk_metrics(df: DataFrame, returns: str = "returns", p: Params = DEFAULTS) -> DataFrame:
     r = F.col(returns)
-    cut = df.groupBy(KEY).agg(F.percentile(r, F.lit(0.05)).alias("_cut"))
+    cut = quantiles(df, {"_cut": (returns, 0.05)}, p)
     down = F.when(r < 0, r)
     out = df.join(cut, KEY).groupBy(KEY).agg(
         F.avg(r).alias("m"), F.stddev_samp(r).alias("s"), F.stddev_samp(down).alias("d"), sample_skew(r).alias("skewness"), sample_kurtosis(r).alias("kurtosis"),

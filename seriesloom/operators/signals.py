@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import KEY, change, clip, flag, ratio, roll, sign_of
+from ..functions.quantiles import quantiles
 from ..params import DEFAULTS, Params
 from .features import add_z_score
 
@@ -19,7 +20,7 @@ def mean_reversion(df: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     signal = sign_of(z < -p.entry_z, z > p.entry_z)
     df = df.withColumn("mean_reversion_strength", clip(-z / p.entry_z, -2, 2))
     if "volatility_20" in df.columns:
-        cut = df.groupBy(KEY).agg(F.percentile("volatility_20", F.lit(p.regime_quantile)).alias("_cut"))
+        cut = quantiles(df, {"_cut": ("volatility_20", p.regime_quantile)}, p)
         df = df.join(cut, KEY).withColumn("vol_regime_ok_global", flag(F.col("volatility_20") < F.col("_cut"))).drop("_cut")
         signal = signal * F.col("vol_regime_ok_global")
     return df.withColumn("signal_mean_reversion", signal)

@@ -6,11 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import KEY, ratio, so_far
+from ..functions.quantiles import quantiles_by_ranges
 from ..params import DEFAULTS, Params
 
 
-def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(series_key, column, count, mean, std, min, p25, p50, p75, max) with exact quartiles, by one aggregate."""
+def describe(df: DataFrame, columns: list[str], p: Params = DEFAULTS) -> DataFrame:
+    """(series_key, column, count, mean, std, min, p25, p50, p75, max) with exact quartiles, by one aggregate or, for long
+    series, by ranges of values."""
+    if p.long_series:
+        return _described_by_ranges(df, columns)
+
     def one(c: str):
         x = F.col(c).cast("double")
         q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
@@ -20,6 +25,16 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.groupBy(KEY).agg(F.array(*[one(c) for c in columns]).alias("rows")).select(KEY, F.inline("rows"))
 
 
+def _described_by_ranges(df: DataFrame, columns: list[str]) -> DataFrame:
+    shares = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+    cuts = quantiles_by_ranges(df, {f"{n}_{k}": (c, q) for k, c in enumerate(columns) for n, q in shares.items()})
+    x = [F.col(c).cast("double") for c in columns]
+    sums = df.groupBy(KEY).agg(*[f.alias(f"{n}_{k}") for k, c in enumerate(x) for n, f in (("count", F.count(c)), ("mean", F.avg(c)), ("std", F.stddev_samp(c)), ("min", F.min(c)), ("max", F.max(c)))])
+    names = ["count", "mean", "std", "min", *shares, "max"]
+    rows = [F.struct(F.lit(c).alias("column"), *[F.col(f"{n}_{k}").alias(n) for n in names]) for k, c in enumerate(columns)]
+    return sums.join(cuts, KEY).select(KEY, F.inline(F.array(*rows)))
+
+
 def key_figures(df: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """Figures of a featured series: rows, dates, price range, returns, deepest price drawdown, shares of signals."""
     df = df.withColumn("_top", F.max("price").over(so_far()))

@@ -11,6 +11,7 @@ _CUM = f"{_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 _TICK = "base AS (SELECT event_type AS series_key, event_id AS seq, ts AS timestamp, value AS price FROM events)"
 _DAILY = """base AS (SELECT o_orderpriority AS series_key, CAST(0 AS BIGINT) AS seq, o_orderdate AS timestamp,
   100 + (CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) - 150000) / 100000 AS price FROM orders GROUP BY o_orderpriority, o_orderdate)"""
+_LONG = "base AS (SELECT 'ALL' AS series_key, event_id AS seq, ts AS timestamp, 100 + value / 30011 AS price FROM events)"
 _RAW = "base AS (SELECT o_orderpriority AS series_key, o_orderkey AS seq, o_orderdate AS timestamp, o_totalprice AS price FROM orders)"
 
 
@@ -217,6 +218,23 @@ def oracle_sql() -> dict[str, str]:
         "ch_price_signals": f"WITH {_FEATURED} SELECT series_key, timestamp, {_r('price')} AS price, {_r('ma_20')} AS ma_20, CASE signal WHEN 1 THEN 'LONG' WHEN -1 THEN 'SHORT' END AS marker FROM f7",
         "m_all": f"SELECT * FROM ({q['m_returns']}) JOIN ({q['m_risk']}) USING (series_key) JOIN ({dated}) USING (series_key)",
     }
+    q |= _long_twins(q, dated)
     full = q["clean_full"]
     q["clean_report"] = f"WITH {_RAW}, done AS ({full}) SELECT series_key, original_rows, final_rows, original_rows - final_rows AS removed, {_r('final_rows * 100.0 / original_rows')} AS retention_pct FROM (SELECT series_key, count(*) AS original_rows FROM base GROUP BY 1) JOIN (SELECT series_key, count(*) AS final_rows FROM done GROUP BY 1) USING (series_key)"
     return q
+
+
+def _long_twins(q: dict[str, str], drawdown: str) -> dict[str, str]:
+    """The SQL of queries of many series, for one series of all events."""
+    every = _feature([c for columns in FEATURES.values() for c in columns])
+    like = {"long_features": every, "long_equity": q["bt_equity"], "long_trades": q["bt_trades"], "long_drawdown": drawdown, "long_rolling": q["m_rolling"], "long_risk": q["m_risk"], "long_regimes": q["volatility_regimes"], "long_describe": q["describe"]}
+    out = {name: sql.replace(_DAILY, _LONG) for name, sql in like.items()}
+    out["long_trades"] = out["long_trades"].replace("date_diff('second', timestamp, exit_time) / 3600.0", "(epoch_us(exit_time) - epoch_us(timestamp)) / 3.6e9")
+    signals = f"WITH {_SIGNALS} SELECT series_key, timestamp, signal_mean_reversion, signal_momentum, {_r('combined_strength')} AS combined_strength, signal_combined FROM signalled"
+    out["long_signals"] = signals.replace(_DAILY, _LONG)
+    out["long_price_drawdown"] = q["drawdown_analysis"].replace(_DAILY, _LONG).replace("dd < -0.5", "dd < -0.00003")
+    out["long_spikes"] = q["q_spikes"].replace(_DAILY, _LONG).replace(f"c > {DEFAULTS.spike_pct}", "c > 0.01")
+    one = "'ALL' AS series_key"
+    out["long_flat_periods"] = q["q_flat_periods"].replace("event_type AS series_key", one).replace("floor(value / 200) * 200.0 AS price", "floor(((100 + value / 30011) - 100) * 150) / 150 AS price")
+    out["long_fill"] = q["clean_ffill_limit"].replace("event_type AS series_key", one).replace("THEN value END", "THEN 100 + value / 30011 END")
+    return out

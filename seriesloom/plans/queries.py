@@ -13,12 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import KEY
-from ..operators import backtest, catalogue, chartdata, clean, features, metrics, quality, regress, signals, summary
+from ..functions.chunks import in_chunks
+from ..operators import backtest, catalogue, chartdata, clean, features, longseries, metrics, quality, regress, signals, summary
 from ..params import Params
-from ..sources.series import as_series, daily, parse_timestamps, raw_orders, standardize_columns, table, tick
+from ..sources.series import as_series, daily, parse_timestamps, raw_orders, standardize_columns, table, tick, ticks
 
 #: Bounds that fit the order prices of the test tables.
 ORDERS = Params(min_price=1_000.0, max_price=450_000.0, outlier_z=1.6, spike_pct=50.0)
+#: Chunks and buckets so small that the test tables have many of them.
+LONG = Params(chunk_rows=500, bucket_seconds=86_400, long_series=True, flat_run=3)
 #: Added before rounding, in units of the last place: prices in cents have many exact ties, on which engines differ.
 NUDGE = 0.037
 REGRESSORS = ["rsi", "z_score", "momentum_5", "volatility_20"]
@@ -155,7 +158,40 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ch_monthly_pivot": lambda s, d: finish(chartdata.monthly_returns(features.add_returns(daily(s, d))), 4),
         "ch_corr_matrix": lambda s, d: finish(chartdata.correlation_matrix(featured(s, d), REGRESSORS), 4),
     }
-    return q
+    return q | _long_queries()
+
+
+def _long_returns(s: SparkSession, d: str) -> DataFrame:
+    return in_chunks(ticks(s, d), features.add_returns, 1, p=LONG)
+
+
+def _long_volatility(s: SparkSession, d: str) -> DataFrame:
+    return in_chunks(ticks(s, d), lambda df: features.add_volatility(features.add_returns(df)), 40, p=LONG)
+
+
+def _long_equity(s: SparkSession, d: str) -> DataFrame:
+    return longseries.with_equity(longseries.all_signals(ticks(s, d), LONG), "signal_mean_reversion", LONG)
+
+
+def _long_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """One series of all events, of which no task holds more than a chunk and its neighbours."""
+    every = [c for columns in FEATURES.values() for c in columns]
+    steps = lambda df: df.withColumn("price", F.floor((F.col("price") - 100) * 150) / 150)
+    return {
+        "long_features": lambda s, d: finish(longseries.features(ticks(s, d), LONG).select(KEY, "timestamp", *every), 4),
+        "long_signals": lambda s, d: finish(longseries.all_signals(ticks(s, d), LONG).select(KEY, "timestamp", "signal_mean_reversion", "signal_momentum", "combined_strength", "signal_combined"), 4),
+        "long_equity": lambda s, d: finish(_long_equity(s, d).select(KEY, "timestamp", "position", "strategy_returns_net", "cum_strategy_returns", "cum_buy_hold"), 4),
+        "long_trades": lambda s, d: finish(longseries.trades(_long_equity(s, d), LONG), 4),
+        "long_drawdown": lambda s, d: finish(longseries.drawdown_metrics(_long_returns(s, d), p=LONG), 4),
+        "long_rolling": lambda s, d: finish(longseries.rolling_metrics(_long_equity(s, d), "strategy_returns_net", LONG), 4),
+        "long_price_drawdown": lambda s, d: finish(longseries.price_drawdown(ticks(s, d), -0.00003, p=LONG), 4),
+        "long_flat_periods": lambda s, d: finish(longseries.flat_periods(steps(ticks(s, d)), LONG), 4),
+        "long_spikes": lambda s, d: finish(longseries.spikes(ticks(s, d), Params(chunk_rows=500, spike_pct=0.01)), 4),
+        "long_fill": lambda s, d: finish(longseries.fill_missing(_holed(ticks(s, d)), LONG), 6),
+        "long_risk": lambda s, d: finish(metrics.risk_metrics(_long_returns(s, d), p=LONG), 4),
+        "long_regimes": lambda s, d: finish(catalogue.volatility_regimes(_long_volatility(s, d), LONG), 4),
+        "long_describe": lambda s, d: finish(summary.describe(longseries.features(ticks(s, d), LONG), ["price", "returns", "rsi", "z_score"], LONG), 4),
+    }
 
 
 def _holed(df: DataFrame) -> DataFrame:

@@ -52,6 +52,12 @@ def tick(spark: SparkSession, sf_dir: str, key: str = "event_type") -> DataFrame
     return as_series(e, "k", "event_id").drop("k", "event_id")
 
 
+def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one long series: an index of 100 and a point for 30,011 of the value."""
+    e = table(spark, sf_dir, "events")
+    return e.select(F.lit("ALL").alias("series_key"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("timestamp"), (100 + F.col("value") / 30_011).alias("price"))
+
+
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An index of the mean order price of each day, one series for each priority: 100 at a mean of 150,000, and a point for
     100,000 more. Prices are summed in decimals, so their order does not matter."""
