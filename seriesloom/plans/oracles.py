@@ -207,7 +207,7 @@ def oracle_sql() -> dict[str, str]:
         "ch_monthly_pivot": f"WITH {_DAILY}, a AS (SELECT *, {_change()} AS r FROM base), m AS (SELECT series_key, CAST(year(timestamp) AS INTEGER) AS year, month(timestamp) AS month, (product(1 + r) - 1) * 100 AS r FROM a WHERE r IS NOT NULL GROUP BY 1, 2, 3) SELECT series_key, year, " + ", ".join(f"{_r(f'max(r) FILTER (month = {k})')} AS m{k}" for k in range(1, 13)) + " FROM m GROUP BY 1, 2",
         "ch_corr_matrix": f"WITH {_FEATURED} " + " UNION ALL ".join(f"SELECT series_key, '{b}' AS x, '{a}' AS y, {_r(f'corr({a}, {b})')} AS correlation FROM f7 GROUP BY 1" for k, a in enumerate(REGRESSORS) for b in REGRESSORS[k + 1 :]),
     }
-    q |= regress_sql.twins(_FEATURED, _W, REGRESSORS, _r)
+    q |= regress_sql.twins(_FEATURED, _W, REGRESSORS, _r) | regress_sql.more_twins(_FEATURED, _W, REGRESSORS, _r, steps=8)
     every = [c for columns in FEATURES.values() for c in columns]
     dated = q["m_drawdown"].replace(f"{_SIGNALS}, {_equity('signal_mean_reversion')}", f"{_DAILY}, equity AS (SELECT *, {_change()} AS strategy_returns_net FROM base)")
     q |= {

@@ -144,6 +144,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "reg_compare": lambda s, d: finish(regress.compare_kinds(featured(s, d), REGRESSORS), 4),
         "reg_importance": lambda s, d: finish(regress.importance(regress.train_test(featured(s, d), REGRESSORS)[1]), 4),
         "reg_weights": lambda s, d: finish(regress.walk_forward(featured(s, d), REGRESSORS)[1], 4),
+        "reg_walk_forward_squares": lambda s, d: finish(regress.walk_forward(featured(s, d), REGRESSORS, kind="polynomial")[0], 4),
+        "reg_univariate_squares": lambda s, d: finish(regress.univariate(featured(s, d), REGRESSORS, kind="polynomial"), 4),
+        "reg_logistic": lambda s, d: finish(regress.logistic(featured(s, d), REGRESSORS)[0].drop("steps", "rested", "kind"), 4),
+        "reg_logistic_weights": lambda s, d: finish(regress.logistic(featured(s, d), REGRESSORS)[1], 4),
+        "reg_overall": lambda s, d: finish(regress.overall(regress.walk_forward(featured(s, d), REGRESSORS)[2]), 4),
+        "reg_residuals": lambda s, d: finish(chartdata.residuals(regress.walk_forward(featured(s, d), REGRESSORS)[2]).drop("seq"), 4),
+        "reg_spline": lambda s, d: finish(regress.train_test(featured(s, d), REGRESSORS, "spline")[0], 4),
         "src_standardized": _standardized,
         "feat_complete": lambda s, d: finish(features.all_features(daily(s, d)).select(KEY, "timestamp", "price", "rsi", "signal"), 4),
         "clean_violations": lambda s, d: clean.violations(raw_orders(s, d)),
