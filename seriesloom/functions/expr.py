@@ -76,6 +76,13 @@ def compounded(r: Column | str) -> Column:
     return F.when(r.isNotNull(), F.product(1 + r).over(so_far()))
 
 
+def correlation(x: Column | str, y: Column | str) -> Column:
+    """Of pairs without a missing side; NULL where a side does not vary, for which the engine's own has an error."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    own = lambda a, b: F.stddev_pop(F.when(b.isNotNull(), a))
+    return ratio(F.covar_pop(x, y), own(x, y) * own(y, x))
+
+
 def sample_skew(x: Column) -> Column:
     n = F.count(x).cast("double")
     return F.when(n > 2, F.skewness(x) * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0)))

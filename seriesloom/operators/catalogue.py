@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import KEY, change, day, lag, lead, log_ratio, ratio, roll, rows, series_window, so_far
+from ..functions.expr import KEY, change, correlation, day, lag, lead, log_ratio, ratio, roll, rows, series_window, so_far
 from ..functions.quantiles import quantiles
 from ..params import DEFAULTS, Params
 
@@ -102,7 +102,7 @@ def forward_returns(df: DataFrame) -> DataFrame:
 def feature_correlations(df: DataFrame, features: tuple[str, ...] = ("rsi", "z_score", "momentum_5", "volatility_20")) -> DataFrame:
     """(series_key, feature, correlation_1period, correlation_5period), by one aggregate."""
     df = forward_returns(df if "returns" in df.columns else df.withColumn("returns", change("price")))
-    parts = [F.struct(F.lit(f).alias("feature"), *[F.corr(f, f"return_{k}_ahead").alias(f"correlation_{k}period") for k in (1, 5)]) for f in features if f in df.columns]
+    parts = [F.struct(F.lit(f).alias("feature"), *[correlation(f, f"return_{k}_ahead").alias(f"correlation_{k}period") for k in (1, 5)]) for f in features if f in df.columns]
     return df.groupBy(KEY).agg(F.array(*parts).alias("rows")).select(KEY, F.inline("rows"))
 
 

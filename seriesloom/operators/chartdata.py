@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import KEY, change, roll
+from ..functions.expr import KEY, change, correlation, roll
 from .metrics import with_drawdown
 
 
@@ -26,7 +26,7 @@ def drawdown_curve(df: DataFrame, returns: str = "returns") -> DataFrame:
 
 def correlation_matrix(df: DataFrame, features: list[str]) -> DataFrame:
     """(series_key, x, y, correlation) of the lower triangle, pairwise complete, by one aggregate."""
-    parts = [F.struct(F.lit(b).alias("x"), F.lit(a).alias("y"), F.corr(a, b).alias("correlation")) for a, b in combinations(features, 2)]
+    parts = [F.struct(F.lit(b).alias("x"), F.lit(a).alias("y"), correlation(a, b).alias("correlation")) for a, b in combinations(features, 2)]
     return df.groupBy(KEY).agg(F.array(*parts).alias("rows")).select(KEY, F.inline("rows"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import KEY, flag, lag, ratio, rows
@@ -55,3 +55,45 @@ def cleaning_report(before: DataFrame, after: DataFrame) -> DataFrame:
     b = after.groupBy(KEY).agg(F.count(F.lit(1)).alias("final_rows"))
     out = a.join(b, KEY, "left").withColumn("final_rows", F.coalesce("final_rows", F.lit(0)))
     return out.withColumns({"removed": F.col("original_rows") - F.col("final_rows"), "retention_pct": ratio(F.col("final_rows") * 100.0, F.col("original_rows"))})
+
+
+def clean_observed(df: DataFrame, p: Params = DEFAULTS) -> tuple[DataFrame, dict[str, Observation]]:
+    """(clean(df), observations): whichever action computes the result also counts the rows after each step.
+
+    Read ``step_counts`` after that action; there is no pass for the counts alone.
+    """
+    steps = {"raw": lambda d: d, "one row for a time": dedup_keep_last, "filled": lambda d: fill_missing(d, p), "possible": lambda d: keep_possible(d, p), "no outliers": lambda d: drop_outliers(d, p)}
+    seen = {name: Observation() for name in steps}
+    for name, step in steps.items():
+        df = step(df).observe(seen[name], F.count(F.lit(1)).alias("rows"), F.count_if(F.col("price").isNull()).alias("missing"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
+    return mark_spikes(df, p), seen
+
+
+def step_counts(seen: dict[str, Observation]) -> list[dict]:
+    """[{step, rows, removed, missing, first, last}]; waits for an action on the observed frame."""
+    out, before = [], None
+    for name, o in seen.items():
+        found = o.get
+        out.append({"step": name, **found, "removed": 0 if before is None else before - found["rows"]})
+        before = found["rows"]
+    return out
+
+
+STEPS = ("repeated time", "no time", "no price", "impossible", "outlier", "kept")
+
+
+def cleaning_steps(df: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """(series_key, step, rows): for each row of each series the step that removes it, or kept; rows filled count as filled
+    beside that. Removed rows are marked and not dropped, so one plan tells it for all series."""
+    again = Window.partitionBy(KEY, "timestamp").orderBy(F.col("seq").desc_nulls_last(), F.col("price").desc_nulls_last())
+    at = df.withColumn("_why", F.when(F.row_number().over(again) > 1, STEPS[0]).when(F.col("timestamp").isNull(), STEPS[1]))
+    alive = F.col("_why").isNull()
+    order = Window.partitionBy(KEY, alive).orderBy(F.col("timestamp").asc_nulls_last(), F.col("seq").asc_nulls_last()).rowsBetween(-p.fill_limit, 0)
+    at = at.withColumn("_filled", F.last("price", ignorenulls=True).over(order))
+    at = at.withColumns({"_mended": alive & F.col("price").isNull() & F.col("_filled").isNotNull(), "_why": F.when(~alive, F.col("_why")).when(F.col("_filled").isNull(), STEPS[2]).when(~((F.col("_filled") > 0) & F.col("_filled").between(p.min_price, p.max_price)), STEPS[3])})
+    price = F.when(F.col("_why").isNull(), F.col("_filled"))
+    stats = at.groupBy(KEY).agg(F.avg(price).alias("_m"), F.stddev_samp(price).alias("_s"))
+    z = F.abs(ratio(F.col("_filled") - F.col("_m"), F.col("_s")))
+    at = at.join(stats, KEY).withColumn("_why", F.coalesce("_why", F.when(z > p.outlier_z, STEPS[4]), F.lit(STEPS[5])))
+    counts = [F.struct(F.lit(s).alias("step"), F.count_if(F.col("_why") == s).alias("rows")) for s in STEPS] + [F.struct(F.lit("filled").alias("step"), F.count_if("_mended").alias("rows"))]
+    return at.groupBy(KEY).agg(F.array(*counts).alias("a")).select(KEY, F.inline("a"))

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import KEY, change, ratio, series_window
+from ..functions.expr import KEY, change, correlation, ratio, series_window
 from ..params import DEFAULTS, Params
 from ..sources.scratch import settled
 
@@ -268,7 +268,7 @@ def univariate(df: DataFrame, features: list[str], target: str = TARGET, p: Para
     y = F.col(target).cast("double")
     if kind == "polynomial":
         return _univariate_squares(df, features, y, p)
-    parts = [F.struct(F.lit(f).alias("feature"), F.count(F.lit(1)).cast("double").alias("n"), F.stddev_pop(f).alias("s"), F.covar_pop(f, y).alias("c"), F.var_pop(y).alias("v"), F.corr(f, y).alias("correlation")) for f in features]
+    parts = [F.struct(F.lit(f).alias("feature"), F.count(F.lit(1)).cast("double").alias("n"), F.stddev_pop(f).alias("s"), F.covar_pop(f, y).alias("c"), F.var_pop(y).alias("v"), correlation(f, y).alias("correlation")) for f in features]
     sums = df.groupBy(KEY).agg(F.array(*parts).alias("rows")).select(KEY, F.inline("rows"))
     slope = F.coalesce(ratio(F.col("c"), F.col("s")), F.lit(0.0))  # of the standardised feature, not shrunk
     sums = sums.withColumn("coefficient", slope * F.col("n") / (F.col("n") + p.ridge_alpha))
@@ -282,7 +282,7 @@ def _univariate_squares(df: DataFrame, features: list[str], y: Column, p: Params
     parts = []
     for f in features:
         x = F.col(f).cast("double")
-        parts.append(F.struct(F.lit(f).alias("feature"), F.count(F.lit(1)).cast("double").alias("n"), F.avg(x).alias("m"), F.stddev_pop(x).alias("s"), F.skewness(x).alias("g"), (F.kurtosis(x) + 3).alias("h"), F.covar_pop(x, y).alias("c1"), F.covar_pop(x * x, y).alias("c2"), F.var_pop(y).alias("v"), F.corr(x, y).alias("correlation")))
+        parts.append(F.struct(F.lit(f).alias("feature"), F.count(F.lit(1)).cast("double").alias("n"), F.avg(x).alias("m"), F.stddev_pop(x).alias("s"), F.skewness(x).alias("g"), (F.kurtosis(x) + 3).alias("h"), F.covar_pop(x, y).alias("c1"), F.covar_pop(x * x, y).alias("c2"), F.var_pop(y).alias("v"), correlation(x, y).alias("correlation")))
     sums = df.groupBy(KEY).agg(F.array(*parts).alias("rows")).select(KEY, F.inline("rows"))
     varies = F.col("s") > 0
     g, h, n, v = F.coalesce("g", F.lit(0.0)), F.coalesce("h", F.lit(1.0)), F.col("n"), F.col("v")

@@ -218,7 +218,7 @@ def oracle_sql() -> dict[str, str]:
         "ch_price_signals": f"WITH {_FEATURED} SELECT series_key, timestamp, {_r('price')} AS price, {_r('ma_20')} AS ma_20, CASE signal WHEN 1 THEN 'LONG' WHEN -1 THEN 'SHORT' END AS marker FROM f7",
         "m_all": f"SELECT * FROM ({q['m_returns']}) JOIN ({q['m_risk']}) USING (series_key) JOIN ({dated}) USING (series_key)",
     }
-    q |= _long_twins(q, dated)
+    q |= _long_twins(q, dated) | _more_twins(q)
     full = q["clean_full"]
     q["clean_report"] = f"WITH {_RAW}, done AS ({full}) SELECT series_key, original_rows, final_rows, original_rows - final_rows AS removed, {_r('final_rows * 100.0 / original_rows')} AS retention_pct FROM (SELECT series_key, count(*) AS original_rows FROM base GROUP BY 1) JOIN (SELECT series_key, count(*) AS final_rows FROM done GROUP BY 1) USING (series_key)"
     return q
@@ -238,3 +238,50 @@ def _long_twins(q: dict[str, str], drawdown: str) -> dict[str, str]:
     out["long_flat_periods"] = q["q_flat_periods"].replace("event_type AS series_key", one).replace("floor(value / 200) * 200.0 AS price", "floor(((100 + value / 30011) - 100) * 150) / 150 AS price")
     out["long_fill"] = q["clean_ffill_limit"].replace("event_type AS series_key", one).replace("THEN value END", "THEN 100 + value / 30011 END")
     return out
+
+
+def _more_twins(q: dict[str, str]) -> dict[str, str]:
+    every = [c for columns in FEATURES.values() for c in columns]
+    place = ", ".join(f"'{c}'" for c in every)
+    values = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in every)
+    long = f"WITH {_FEATURED}, n AS (SELECT series_key, row_number() OVER () AS id, {values} FROM f7), u AS MATERIALIZED (SELECT series_key, id, list_position([{place}], c) AS k, c, v FROM (UNPIVOT n ON {', '.join(every)} INTO NAME c VALUE v))"
+    checks = {"duplicates": "q_duplicates", "missing_values": "q_missing", "price_outliers": "q_outliers", "price_spikes": "q_spikes", "time_gaps": "q_time_gaps", "flat_periods": "q_flat_periods", "impossible_values": "q_impossible"}
+    figures = {
+        "duplicates": ("count", "percentage"), "missing_values": ("missing_timestamp", "missing_price", "total", "percentage"), "price_outliers": ("count", "percentage"), "price_spikes": ("count", "percentage", "max_move"),
+        "time_gaps": ("count", "typical_seconds", "max_gap_seconds"), "flat_periods": ("num_long_flat_periods", "max_consecutive_unchanged"), "impossible_values": ("negative_prices", "below_min", "above_max"),
+    }
+    parts = []
+    for check, name in checks.items():
+        sql = q[name].replace(_RAW, _DAILY)
+        if name == "q_flat_periods":
+            sql = sql.replace("t0 AS (SELECT event_type AS series_key, event_id AS seq, ts AS timestamp, floor(value / 200) * 200.0 AS price FROM events)", f"{_DAILY}, t0 AS (SELECT * FROM base)").replace("n > 3", f"n > {DEFAULTS.flat_run}")
+        if name == "q_impossible":
+            sql = sql.replace(f"price < {ORDERS.min_price}", f"price < {DEFAULTS.min_price}").replace(f"price > {ORDERS.max_price}", f"price > {DEFAULTS.max_price}")
+        parts += [f"SELECT series_key, '{check}' AS \"check\", '{m}' AS metric, {_r(f'CAST({m} AS DOUBLE)')} AS value FROM ({sql})" for m in figures[check]]
+    lo, hi = ORDERS.min_price, ORDERS.max_price
+    holed = _RAW.replace("o_totalprice AS price", "CASE WHEN o_orderkey % 13 >= 7 THEN o_totalprice END AS price")
+    steps = {"repeated time": "n - a", "no time": "a - t", "no price": "t - f", "impossible": "f - r", "outlier": "r - k", "kept": "k", "filled": "m"}
+    text = (
+        "t AS (SELECT CAST(o_orderkey AS VARCHAR) AS key, CASE WHEN o_orderkey % 70 = 3 THEN 'soon' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS date, "
+        "CASE WHEN o_orderkey % 40 = 1 THEN 'n/a' WHEN o_orderkey % 40 = 2 THEN ' ' ELSE CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) END AS price, o_orderpriority AS priority FROM orders)"
+    )
+    from statistics import NormalDist
+
+    points = ", ".join(f"({k / 100}, {NormalDist().inv_cdf(k / 100)!r})" for k in range(1, 100))
+    return {
+        "ch_corr_all": f"{long} SELECT a.series_key, a.c AS x, b.c AS y, count(*) AS n, {_r('CASE WHEN max(a.v) > min(a.v) AND max(b.v) > min(b.v) THEN corr(a.v, b.v) END')} AS correlation FROM u a JOIN u b ON a.id = b.id AND a.k > b.k GROUP BY 1, 2, 3",
+        "ch_quantile_points": f"WITH {_DAILY}, a AS (SELECT series_key, {_change()} AS r FROM base), p(share, theoretical) AS (VALUES {points}) SELECT series_key, {_r('theoretical')} AS theoretical, {_r('q[CAST(round(share * 100) AS INTEGER)]')} AS sample "
+        f"FROM (SELECT series_key, quantile_cont(r, [{', '.join(str(k / 100) for k in range(1, 100))}]) AS q FROM a GROUP BY 1), p",
+        "reg_top_features": f"SELECT series_key, feature, weight, abs_weight FROM ({q['reg_importance']}) QUALIFY row_number() OVER (ORDER BY abs_weight DESC, feature) <= 7",
+        "q_all_checks": " UNION ALL ".join(f"SELECT * FROM ({p})" for p in parts),
+        "clean_steps": f"WITH {holed}, a AS (SELECT * FROM base QUALIFY row_number() OVER (PARTITION BY series_key, timestamp ORDER BY seq DESC) = 1), f0 AS (SELECT series_key, price AS before, last_value(price IGNORE NULLS) OVER ({_W} ROWS BETWEEN {DEFAULTS.fill_limit} PRECEDING AND CURRENT ROW) AS price FROM a WHERE timestamp IS NOT NULL), "
+        f"f AS (SELECT * FROM f0 WHERE price IS NOT NULL), r AS (SELECT * FROM f WHERE price BETWEEN {lo} AND {hi}), s AS (SELECT series_key, avg(price) AS m, stddev_samp(price) AS sd FROM r GROUP BY 1), k AS (SELECT r.* FROM r JOIN s USING (series_key) WHERE coalesce(abs((price - m) / nullif(sd, 0)) <= {ORDERS.outlier_z}, true)), "
+        + ", ".join(f"c_{n} AS (SELECT series_key, count(*) AS {n} FROM {source} GROUP BY 1)" for n, source in (("n", "base"), ("a", "a"), ("t", "f0"), ("f", "f"), ("r", "r"), ("k", "k"), ("m", "(SELECT * FROM f WHERE before IS NULL)")))
+        + ", c AS (SELECT * FROM c_n JOIN c_a USING (series_key) JOIN c_t USING (series_key) JOIN c_f USING (series_key) JOIN c_r USING (series_key) JOIN c_k USING (series_key) JOIN c_m USING (series_key)) "
+        + " UNION ALL ".join(f"SELECT series_key, '{step}' AS step, {e} AS rows FROM c" for step, e in steps.items()),
+        "m_full": f"SELECT * FROM ({q['m_all']}) JOIN ({q['m_trades']}) USING (series_key) JOIN ({q['m_benchmark']}) USING (series_key)",
+        "src_typed": f"WITH {text}, n AS (SELECT 'key' AS c, 'bigint' AS kind, count(key) AS v, count(TRY_CAST(key AS BIGINT)) AS f FROM t UNION ALL SELECT 'date', 'timestamp', count(nullif(trim(date), '')), count(TRY_CAST(date AS TIMESTAMP)) FROM t "
+        "UNION ALL SELECT 'price', 'double', count(nullif(trim(price), '')), count(TRY_CAST(price AS DOUBLE)) FROM t UNION ALL SELECT 'priority', 'string', count(priority), count(priority) FROM t) SELECT c AS \"column\", kind, v AS \"values\", v - f AS failures FROM n",
+        "src_rejected": f"WITH {text}, r AS (SELECT priority, price, concat_ws('; ', CASE WHEN date = 'soon' THEN 'date is no timestamp' END, CASE WHEN price = 'n/a' THEN 'price is no double' END) AS reasons FROM t) "
+        "SELECT priority, CASE reasons WHEN '' THEN 'none' ELSE reasons END AS reasons, count(*) AS rows, count(*) FILTER (reasons = '' AND trim(price) <> '') AS prices FROM r GROUP BY 1, 2",
+    }

@@ -39,7 +39,7 @@ def run_frame(raw: DataFrame, source: str = "table", p: Params = DEFAULTS) -> Re
     return Result(raw, anomalies, cleaned, cleaning, featured, catalogue.run_all(featured, p), figures, report)
 
 
-def run(spark: SparkSession, path: str, out: str, key: str | None = None, seq: str | None = None, script: str | None = None, p: Params = DEFAULTS, table: str = "futures") -> Result:
+def run(spark: SparkSession, path: str, out: str, key: str | None = None, seq: str | None = None, script: str | None = None, p: Params = DEFAULTS, table: str = "series") -> Result:
     """Loads a file, runs all stages, and writes tables, query results, summaries and reports under ``out``.
 
     script: SQL statements that see the featured frame as a view called ``table``.

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import KEY
 from ..functions.chunks import in_chunks
-from ..operators import backtest, catalogue, chartdata, clean, features, longseries, metrics, quality, regress, signals, summary
+from ..operators import backtest, catalogue, chartdata, clean, correlate, features, longseries, metrics, quality, regress, signals, summary
 from ..params import Params
+from ..sources.scan import agreed_types, apart
 from ..sources.series import as_series, daily, parse_timestamps, raw_orders, standardize_columns, table, tick, ticks
 
 #: Bounds that fit the order prices of the test tables.
@@ -94,6 +95,40 @@ def _standardized(s: SparkSession, d: str) -> DataFrame:
     return finish(as_series(parse_timestamps(standardize_columns(raw))), 4)
 
 
+def _all_checks(s: SparkSession, d: str) -> DataFrame:
+    """Every number of every check."""
+    found = quality.all_checks(daily(s, d)).where("metric <> 'severity'")
+    return finish(found.select(KEY, "check", "metric", F.col("value").cast("double").alias("value")), 4)
+
+
+def _full_metrics(s: SparkSession, d: str) -> DataFrame:
+    df = features.add_returns(daily(s, d))
+    mean = df.groupBy("timestamp").agg(F.avg(F.round("returns", 9).cast("decimal(20,9)")).cast("double").alias("benchmark_return"))
+    return finish(metrics.all_metrics(df, log=backtest.trades(equity(s, d)), benchmark=mean), 4)
+
+
+def _as_text(s: SparkSession, d: str) -> DataFrame:
+    """Orders as text, with words among the prices of every 40th and among the dates of every 70th, and blanks."""
+    o, n = table(s, d, "orders"), F.col("o_orderkey")
+    return o.select(
+        n.cast("string").alias("key"), F.when(n % 70 == 3, "soon").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("date"),
+        F.when(n % 40 == 1, "n/a").when(n % 40 == 2, " ").otherwise(F.col("o_totalprice").cast("decimal(18,2)").cast("string")).alias("price"), F.col("o_orderpriority").alias("priority"),
+    )
+
+
+def _typed(s: SparkSession, d: str) -> DataFrame:
+    return agreed_types(_as_text(s, d))
+
+
+def _rejected(s: SparkSession, d: str) -> DataFrame:
+    """Rows that fit, and rows for each set of reasons, by series."""
+    text = _as_text(s, d)
+    rows, bad = apart(text, {r["column"]: r["kind"] for r in agreed_types(text).collect()})
+    fine = rows.groupBy("priority").agg(F.count(F.lit(1)).alias("rows"), F.count("price").alias("prices")).withColumn("reasons", F.lit("none"))
+    rest = bad.groupBy("priority", F.array_join("reasons", "; ").alias("reasons")).agg(F.count(F.lit(1)).alias("rows"), F.lit(0).cast("bigint").alias("prices"))
+    return fine.unionByName(rest)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "daily_summary": lambda s, d: finish(catalogue.daily_summary(tick(s, d))),
@@ -163,6 +198,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ch_drawdown": lambda s, d: finish(chartdata.drawdown_curve(features.add_returns(daily(s, d))), 4),
         "ch_histogram": lambda s, d: finish(chartdata.histogram(tick(s, d), "price")),
         "ch_monthly_pivot": lambda s, d: finish(chartdata.monthly_returns(features.add_returns(daily(s, d))), 4),
+        "ch_corr_all": lambda s, d: finish(correlate.correlation_table(featured(s, d), [c for columns in FEATURES.values() for c in columns]), 4),
+        "ch_quantile_points": lambda s, d: finish(chartdata.quantile_points(features.add_returns(daily(s, d)), "returns"), 4),
+        "reg_top_features": lambda s, d: finish(chartdata.top_features(regress.train_test(featured(s, d), REGRESSORS)[1], 7), 4),
+        "q_all_checks": _all_checks,
+        "clean_steps": lambda s, d: clean.cleaning_steps(_holed(raw_orders(s, d)), ORDERS),
+        "m_full": _full_metrics,
+        "src_typed": _typed,
+        "src_rejected": _rejected,
         "ch_corr_matrix": lambda s, d: finish(chartdata.correlation_matrix(featured(s, d), REGRESSORS), 4),
     }
     return q | _long_queries()

@@ -58,7 +58,7 @@ def test_scripts_keep_literals_and_go_on_after_errors(spark):
 
 def test_pipeline_from_file_to_reports(spark, csv, tmp_path):
     out = str(tmp_path / "out")
-    result = pipeline.run(spark, csv, out, script="SELECT count(*) AS n FROM futures", p=Params(min_price=1.0, max_price=1000.0))
+    result = pipeline.run(spark, csv, out, script="SELECT count(*) AS n FROM series", p=Params(min_price=1.0, max_price=1000.0))
     assert result.cleaned.count() == 200
     assert "FINAL REPORT" in result.report and "total_anomalies" in result.report
     assert spark.read.parquet(f"{out}/featured").count() == result.featured.count() == 200 - 49

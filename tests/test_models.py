@@ -137,7 +137,90 @@ def test_walk_forward_as_a_loop(spark):
         regress.prepare(df, ["f1"], "absent")
 
 
-def test_logistic_on_the_sign(spark):
-    df, _, _ = regression_frame(spark, 80, 6)
-    df = df.withColumn("y", F.col("y") - 3.0)
-    assert regress.logistic(df, ["f1", "f2"], "y").summary.accuracy > 0.7
+def squares(x, y, at, x_new):
+    """Ridge of standardised features and their products of two, fitted to x[at], y[at]."""
+    mean, scale = x[at].mean(0), x[at].std(0)
+
+    def terms(v):
+        z = (v - mean) / scale
+        return np.column_stack([z, *[z[:, a] * z[:, b] for a in range(z.shape[1]) for b in range(a, z.shape[1])]])
+
+    q = terms(x[at])
+    c = q - q.mean(0)
+    b = np.linalg.solve(c.T @ c + np.eye(c.shape[1]), c.T @ (y[at] - y[at].mean()))
+    return y[at].mean() + (terms(x_new) - q.mean(0)) @ b, b
+
+
+def test_walk_forward_of_second_degree_as_refits(spark):
+    df, x, y = regression_frame(spark, 120, 8)
+    df = df.withColumn("f1", F.col("f1") + 500.0)  # far from zero
+    x = x + np.array([500.0, 0.0])
+    p = Params(train_years=2, rebalance_months=1)
+    periods, weights, predictions = regress.walk_forward(df, ["f1", "f2"], target="y", p=p, kind="polynomial")
+    t = pd.date_range(T0, periods=120, freq="10D")
+    got = {r["timestamp"]: r["prediction"] for r in predictions.collect()}
+    at, n = t[0] + pd.DateOffset(years=2), 0
+    while at < t[-1]:
+        end = at + pd.DateOffset(months=1)
+        train, test = t < at, (t >= at) & (t < end)
+        if test.any():
+            want, b = squares(x, y, train, x[test])
+            np.testing.assert_allclose([got[v] for v in t[test].to_pydatetime()], want, rtol=1e-6)
+            n += int(test.sum())
+        at = end
+    assert n == len(got) and weights.columns[3:] == ["f1", "f2", "f1*f1", "f1*f2", "f2*f2"]
+    first = weights.orderBy("iteration").first()
+    train = t < t[0] + pd.DateOffset(years=2)
+    np.testing.assert_allclose([first[c] for c in weights.columns[3:]], squares(x, y, train, x[:1])[1], rtol=1e-6)
+
+
+@pytest.mark.parametrize("start", ["2020-01-31", "2020-02-29", "2021-12-30 12:00:00", "2020-06-15"])
+@pytest.mark.parametrize("months", [1, 2, 5])
+def test_steps_as_iterated_months(spark, start, months):
+    t = pd.date_range(start, periods=400, freq="3D12h")
+    df = spark.createDataFrame([("a", k, v.to_pydatetime()) for k, v in enumerate(t)], "series_key string, seq bigint, timestamp timestamp")
+    rows, bounds = regress._steps(df, Params(train_years=1, rebalance_months=months))
+    want, at = [], t[0] + pd.DateOffset(years=1)
+    while at <= t[-1] + pd.DateOffset(months=months):
+        want.append(at)
+        at = at + pd.DateOffset(months=months)
+    found = [r["date"] for r in bounds.orderBy("iteration").collect()]
+    assert found[: len(want) - 1] == [w.to_pydatetime() for w in want[:-1]]
+    assert [r["iteration"] for r in rows.orderBy("seq").collect()] == [sum(w <= v for w in want) for v in t]
+
+
+def test_univariate_of_second_degree(spark):
+    df, x, y = regression_frame(spark, 90, 9)
+    got = {r["feature"]: r for r in regress.univariate(df, ["f1", "f2"], target="y", kind="polynomial").collect()}
+    for j, name in enumerate(("f1", "f2")):
+        z = (x[:, j] - x[:, j].mean()) / x[:, j].std()
+        q = np.c_[z, z * z]
+        c = q - q.mean(0)
+        rest = np.sum((y - y.mean() - c @ np.linalg.solve(c.T @ c + np.eye(2), c.T @ (y - y.mean()))) ** 2)
+        assert got[name]["rmse"] == pytest.approx(np.sqrt(rest / len(y))) and got[name]["coefficient"] is None
+    flat = regress.univariate(df.withColumn("f1", F.lit(3.0)), ["f1"], target="y", kind="polynomial").first()
+    assert flat["rmse"] == pytest.approx(y.std()) and flat["r2"] == pytest.approx(0)
+
+
+def test_logistic_of_each_series(spark):
+    frames, want = None, {}
+    for key, (n, seed, shift) in {"a": (80, 6, 3.0), "b": (150, 7, 0.5), "c": (60, 8, -100.0)}.items():
+        df, x, y = regression_frame(spark, n, seed)
+        df = df.withColumns({"series_key": F.lit(key), "y": F.col("y") - shift})
+        frames = df if frames is None else frames.unionByName(df)
+        k = int(n * 0.6)
+        z = np.c_[(x - x[:k].mean(0)) / x[:k].std(0), np.ones(n)]
+        label, w = (y - shift > 0).astype(float), np.zeros(3)
+        for _ in range(200):  # damped gradient steps, another way to the same minimum
+            p = 1 / (1 + np.exp(-z[:k] @ w))
+            grad = z[:k].T @ (label[:k] - p) - np.array([w[0], w[1], 0])
+            w = w + np.linalg.solve(z[:k].T @ (z[:k] * (p * (1 - p))[:, None]) + np.diag([1, 1, 1e-12]), grad) * 0.5
+        p = 1 / (1 + np.exp(-z @ w))
+        want[key] = (w, np.mean((p > 0.5) == (label > 0.5)), label)
+    metrics_, weights = regress.logistic(frames, ["f1", "f2"], "y")
+    rows = {r["series_key"]: r for r in metrics_.collect()}
+    found = {key: [r["weight"] for r in weights.where(F.col("series_key") == key).collect()] for key in "ab"}
+    for key in "ab":
+        np.testing.assert_allclose(found[key], want[key][0], rtol=1e-6, atol=1e-8)
+        assert rows[key]["rested"] and rows[key]["steps"] < 15
+    assert rows["c"]["train_accuracy"] == 1.0  # one kind of label only
