@@ -48,7 +48,9 @@ def apart(df: DataFrame, types: dict[str, str], damaged: str | None = None) -> t
     """
     reasons = [F.when((F.trim(f"`{c}`") != "") & F.expr(f"try_cast(trim(`{c}`) AS {k})").isNull(), F.lit(f"{c} is no {k}")) for c, k in types.items() if k != "string"]
     if damaged:
-        reasons.append(F.when(F.col(damaged).isNotNull(), F.lit("the line has another number of values")))
+        # a reader that needs some columns only would not see that a line has too many or too few: so all are looked at
+        whole = F.length(F.concat_ws("", *[F.col(f"`{c}`") for c in types])) >= 0
+        reasons.append(F.when(F.col(damaged).isNotNull() & whole, F.lit("the line has another number of values")))
     marked = df.withColumn("_reasons", F.array_compact(F.array(*reasons)) if reasons else F.array().cast("array<string>"))
     typed = [(F.expr(f"try_cast(trim(`{c}`) AS {k})") if k != "string" else F.col(f"`{c}`")).alias(c) for c, k in types.items()]
     return marked.where(F.size("_reasons") == 0).select(*typed), marked.where(F.size("_reasons") > 0).withColumnRenamed("_reasons", "reasons")
