@@ -149,9 +149,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_chars:
     drawn = [known.where(F.col("y") == k).orderBy(F.xxhash64("id"), "id").limit(max_rows) for k in (1, 0)]
     sample = drawn[0].unionByName(drawn[1])
     texts = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")).where("text is not null")
-    one = texts.join(F.broadcast(sample), "id").groupBy("id", "y").agg(F.min("text").alias("text"))  # at most 2 x max_rows labels are broadcast
-    so_far = F.sum(F.length("text")).over(Window.partitionBy("y").orderBy(F.xxhash64("id"), "id"))  # over the sample
-    rows = one.withColumn("so_far", so_far).where(F.col("so_far") <= max_chars).select("id", "text", "y").collect()
+    # At most 2 x max_rows labels are broadcast; lengths tell which texts are drawn, and only those travel.
+    sizes = texts.join(F.broadcast(sample), "id").groupBy("id", "y").agg(F.max(F.length("text")).alias("n"))
+    so_far = F.sum("n").over(Window.partitionBy("y").orderBy(F.xxhash64("id"), "id"))
+    drawn = sizes.withColumn("so_far", so_far).where(F.col("so_far") <= max_chars).select("id", "y").limit(2 * max_rows)
+    rows = texts.join(F.broadcast(drawn), "id").groupBy("id", "y").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (str(r["id"]), r["y"]))
     return fit_rows([(r["text"], r["y"]) for r in rows], of_all=(counts.get(1, 0), counts.get(0, 0)))
 
@@ -180,5 +182,8 @@ def score_documents(docs: DataFrame, model: CompressionModel, threshold: float =
 
 
 def keep_good(docs: DataFrame, model: CompressionModel, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
-    """The documents whose score reaches the threshold, with all their columns."""
+    """The documents whose score reaches the threshold, with all their columns. A model that saw fewer than two labels of a
+    kind cannot tell texts apart: it rejects none."""
+    if not model.weights:
+        return docs
     return kept_by_text(docs, text_col, lambda texts: _scorer(model).scores(texts) >= threshold)

@@ -585,8 +585,33 @@ def test_an_item_without_id_is_found_but_not_named(spark):
     bench = spark.createDataFrame([(None, "two three"), (7, "four"), (None, None)], "item_id bigint, text string")
     r = contamination.contamination_report(docs, bench).first()
     assert (r["n_hit"], r["n_items"], r["contaminated"]) == (3, 1, True)
-    with pytest.raises(ValueError, match="split it"):
-        contamination.contamination_report(docs, bench.select("item_id", F.repeat(F.lit("x"), contamination.BENCHMARK_BYTES).alias("text")))
+
+
+def test_a_benchmark_of_any_size_is_as_one_automaton(spark, docs, odd, monkeypatch):
+    """Items share words and windows, one has no id; documents repeat, with the same id and without one."""
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text")
+    extra = spark.createDataFrame([(900, "one two three"), (901, "two three four"), (None, "delta"), (902, None), (903, "one two three")], "item_id bigint, text string")
+    bench, more = bench.unionByName(extra), spark.createDataFrame([(5, "x one two three four y delta")] * 2 + [(None, "two three four")], "doc_id bigint, text string")
+    both = docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text")).unionByName(more)
+    want = sorted(map(str, contamination.contamination_report(both, bench).collect()))
+    kept = sorted(map(str, contamination.drop_contaminated(both, bench).collect()))
+    size = contamination._size(bench, "text")
+    monkeypatch.setattr(contamination, "BENCHMARK_BYTES", size // 5)
+    assert sorted(map(str, contamination.contamination_report(both, bench).collect())) == want
+    assert sorted(map(str, contamination.drop_contaminated(both, bench).collect())) == kept and 0 < len(kept) < len(want)
+
+
+def test_an_empty_benchmark_matches_nothing(spark, odd):
+    bench = spark.createDataFrame([], "item_id bigint, text string")
+    assert {r["contaminated"] for r in contamination.contamination_report(odd, bench).collect()} == {False}
+    assert contamination.drop_contaminated(odd, bench).count() == odd.count()
+
+
+def test_without_labels_no_document_is_rejected(spark, odd, docs):
+    for labels in ([], [(1, 1), (3, 1), (4, 0)], [(k, None) for k in range(10)]):
+        model = quality.fit(docs, spark.createDataFrame(labels, "doc_id bigint, quality int"))
+        assert quality.keep_good(odd, model).count() == odd.count()
+        assert {round(r["score"], 3) for r in quality.score_documents(odd, model).collect()} <= {0.5, 0.6}
 
 
 def test_queries_have_one_name_each():
