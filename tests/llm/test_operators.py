@@ -295,7 +295,7 @@ def test_lines_as_by_brute_force(spark):
             side = "low" if block < 4 else "high"
             assert (found[h][side] % 2**64 >> 16 * (block % 4) & 0xFFFF, found[h][side + "_n"] % 2**64 >> 16 * (block % 4) & 0xFFFF) == (want, len(own))
     keys = {}
-    for r in line_dedup._keyed(table).collect():
+    for r in line_dedup._keyed(table).unionByName(line_dedup._stretches(df, "doc_id", "text")).collect():
         keys.setdefault(r["id"], set()).add(r["key"])
     root = {h: h for h in lines}
 
@@ -373,6 +373,36 @@ def test_recall_of_edited_lines_against_edit_distance(spark, docs, kind):
     assert got / len(pairs) >= 0.9
 
 
+def test_recall_of_edits_that_grow_with_the_line(spark, docs):
+    """Replaced, added and removed characters, blanks too, by share of the line's characters: how many pairs that are within
+    a tenth by edit distance are in one group. README.md has the figures."""
+    rnd = random.Random(7)
+    lines = sorted({normal(x) for r in docs.collect() for x in (r["text"] or "").split("\n")})
+    kinds = {"3-7 words": lambda x: 3 <= len(x.split(" ")) <= 7, "8-40 words": lambda x: 8 <= len(x.split(" ")) <= 40, "long": lambda x: 400 <= len(x) < 900}
+    wanted = {("3-7 words", 2): 0.9, ("3-7 words", 4): 0.9, ("8-40 words", 2): 0.95, ("8-40 words", 4): 0.9, ("8-40 words", 6): 0.85, ("long", 2): 0.95, ("long", 4): 0.95, ("long", 8): 0.8}
+    rows, pairs = [], []
+    for (kind, percent), _ in wanted.items():
+        for x in rnd.sample([x for x in lines if kinds[kind](x)], 80):
+            y = list(x)
+            for _ in range(max(1, len(x) * percent // 100)):
+                k = rnd.randrange(len(y))
+                y[k : k + rnd.choice([0, 1, 1])] = rnd.choice(["", "e", "q", "n"])
+            y = normal("".join(y))
+            if x != y and y and (len(x) > 400 or distance(x, y) * 100 <= 10 * max(len(x), len(y))):
+                rows += [(2 * len(pairs), x), (2 * len(pairs) + 1, y)]
+                pairs.append((kind, percent, x, y))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    table = line_dedup.Scratch(spark).write(line_dedup.distinct_lines(df))
+    root = {r["id"]: r["root"] for r in line_dedup.line_groups(df, table).collect()}
+    hashes = {r["line"]: r["h"] for r in line_dedup._lines(df, "doc_id", "text").collect()}
+    all_, found = Counter(), Counter()
+    for kind, percent, x, y in pairs:
+        all_[kind, percent] += 1
+        found[kind, percent] += root.get(hashes[x], x) == root.get(hashes[y], y)
+    assert min(all_.values()) > 30
+    assert {k: found[k] / all_[k] for k, least in wanted.items() if found[k] / all_[k] < least} == {}
+
+
 def test_equal_rows_keep_the_same_lines(spark):
     df = spark.createDataFrame([(1, "a\nb"), (1, "a\nb"), (None, "b\nc"), (2, "a\nc\n\n")], "doc_id bigint, text string")
     got = sorted((str(r["doc_id"]), r["text"]) for r in line_dedup.dedup_lines(df).collect())
