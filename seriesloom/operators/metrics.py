@@ -50,17 +50,16 @@ def with_drawdown(df: DataFrame, returns: str = "returns") -> DataFrame:
 def drawdown_metrics(df: DataFrame, returns: str = "returns", p: Params = DEFAULTS) -> DataFrame:
     """Deepest drawdown and its first row, mean length of drawdowns, rows to recover or, if it did not, rows left."""
     df = with_drawdown(df, returns).withColumn("_rn", F.row_number().over(series_window()))
-    under = F.coalesce(F.col("drawdown") < 0, F.lit(False))
-    df = df.withColumn("_under", under)
-    df = df.withColumn("_run", F.sum(F.when(F.col("_under") != F.coalesce(lag("_under"), ~F.col("_under")), 1).otherwise(0)).over(so_far()))
-    lengths = df.where("_under").groupBy(KEY, "_run").agg(F.count(F.lit(1)).alias("len")).groupBy(KEY).agg(F.avg("len").alias("avg_drawdown_duration"))
+    df = df.withColumn("_under", F.coalesce(F.col("drawdown") < 0, F.lit(False)))
+    # the mean length of runs is rows by runs, and a run is known by its first row
+    df = df.withColumn("_enters", F.col("_under") & ~F.coalesce(lag("_under"), F.lit(False)))
     order = F.when(F.col("drawdown").isNotNull(), F.struct("drawdown", "_rn"))
     worst = df.groupBy(KEY).agg(
         F.min("drawdown").alias("_dd"), F.min_by("timestamp", order).alias("max_drawdown_date"), F.min_by("_rn", order).alias("_worst"), F.max("_rn").alias("_n"),
-        F.max_by(F.struct("cum_returns"), F.struct("timestamp", "seq")).getField("cum_returns").alias("_growth"),
+        F.max_by(F.struct("cum_returns"), F.struct("timestamp", "seq")).getField("cum_returns").alias("_growth"), ratio(F.count_if("_under"), F.count_if("_enters")).alias("avg_drawdown_duration"),
     )
     back = df.join(worst.select(KEY, "_worst"), KEY).where((F.col("_rn") >= F.col("_worst")) & (F.col("drawdown") >= 0)).groupBy(KEY).agg(F.min("_rn").alias("_back"))
-    out = worst.join(lengths, KEY, "left").join(back, KEY, "left")
+    out = worst.join(back, KEY, "left")
     cagr = (F.pow(F.col("_growth"), p.annual_factor / F.col("_n")) - 1) * 100
     return out.select(
         KEY, (F.col("_dd") * 100).alias("max_drawdown_pct"), "max_drawdown_date", F.when(F.col("_dd") != 0, cagr / F.abs(F.col("_dd") * 100)).otherwise(0.0).alias("calmar_ratio"),
