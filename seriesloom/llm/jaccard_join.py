@@ -23,7 +23,8 @@ checked on the sets.
 Null and empty texts have no set and link with nothing. A row with a null id
 links as any other; a group's component is its smallest id that is not null, and
 null if it has none. Rows that share an id count one by one, each with its own
-text.
+text. Very long texts are sets like others. Columns other than id and text, of any
+name, are not looked at, and an empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ stay. The base phrases are counted besides, all of their places.
 Detections are rows, placed and suppressed by windows over the rows of one text, so
 a long text costs in proportion to its length. Repeated rows are scanned one by one.
 
-Null and empty texts have no words, no labels and score 0.
+Null and empty texts have no words, no labels and score 0. Columns other than id
+and text, of any name, are not looked at, and an empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -19,7 +19,9 @@ document, sign) that meets the count table in a shuffle join. How much is broadc
 does not change a value.
 
 Documents without words have n_words 0 and a null score. Rows that share an id
-are scored as one document, null ids too.
+are scored as one document, null ids too. A very long text is read whole, in one
+slice. Columns other than id and text, of any name, are not looked at; an empty
+table of documents gives an empty one.
 """
 
 from __future__ import annotations

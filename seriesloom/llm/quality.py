@@ -13,7 +13,9 @@ intercept is shifted back by the difference of the log odds. Scoring reads every
 text whole. Rows without label, text or id are not learnt from, nor are ids whose
 labels differ; an id of several rows gives one text, the smallest. With fewer than
 two rows of one label the score is constant: the share of good rows, with one more
-row of each. Null and empty texts are scored as the empty text.
+row of each. Null and empty texts are scored as the empty text, very long ones
+window by window. Repeated rows get a score each; other columns, of any name, are
+not looked at, and an empty table stays empty.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ one binary value of this layout (all little-endian):
 
 Rows that share doc_id are ordered by a hash of their text; equal rows are
 interchangeable. A null doc_id sorts first. Null and empty texts hold the end id
-only. The stream is dealt by a range of doc_id, so no task or driver holds it
+only; a very long text is one document of one segment. Columns other than id and
+text, of any name, are not looked at, and an empty table gives an empty stream. The stream is dealt by a range of doc_id, so no task or driver holds it
 whole; starts come from the sums of the shards, one row for each.
 """
 

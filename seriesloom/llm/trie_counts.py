@@ -11,7 +11,9 @@ first, and only the branch at hand is held.
 
 Log probabilities follow a rule: -ln(rank + 2.7) of the piece's place in the
 vocabulary file. Equal scores prefer the longer last piece. Null and empty texts
-have no tokens. No shuffle: each row is counted where it is read.
+have no tokens. A very long pre-token is a long branch, held alone. Repeated rows
+have a row each; other columns, of any name, are not looked at, and an empty table
+gives an empty one. No shuffle: each row is counted where it is read.
 """
 
 from __future__ import annotations
