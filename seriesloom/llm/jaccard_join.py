@@ -7,14 +7,16 @@ documents link when 100 |A and B| >= ``percent`` |A or B|.
 Sizes are cut into bands so narrow that linked sets lie in one band or in two
 next to each other; a set signs for its own band and the next. In a band of
 sizes up to r, linked sets differ in at most k = 2r(100 - percent)/(100 +
-percent) elements. The domain of elements is dealt into parts of two cells, and
-each choice of one cell of a part is a signature. With more than k + m cells,
-m + 1 cells hold no difference, whichever the k differences are. An empty cell
-would be the same for unrelated sets and signs nothing: a set with more than m
-empty cells signs again, dealt anew. If all m + 1 equal cells of two linked sets
-are empty, both sets sign again, so they share a signature in the end. m makes
-the expected number of signatures smallest. A band without differences (k = 0)
-needs no signature: its linked sets are equal.
+percent) elements. The domain of elements is dealt into parts of three cells, and
+each choice of two cells of a part is a signature: the elements of both. A part
+with differences in x cells has 2 - x choices or more without them (3, 1 or none),
+so 2 parts - k choices at least are equal, wherever the k differences lie. A
+choice of two empty cells would be the same for unrelated sets and signs nothing:
+a set with m = 2 parts - k or more of them signs again, dealt anew. If all equal
+choices of two linked sets are empty, both sets sign again, so they share a
+signature in the end. The number of parts is the one with the fewest signatures
+to be expected. A band without differences (k = 0) needs no signature: its linked
+sets are equal.
 
 Sets of equal elements are one item, named by a 64-bit hash of the set; copies
 are never paired. Parity bitmaps of the elements, 512 bits and for large sets more,
@@ -44,6 +46,8 @@ from .text import WordHashes, mix, shingle_hashes, space_words
 
 SIZE = 3
 PERCENT = 90
+#: Cells of a part; a signature leaves out one of them.
+CELLS = 3
 _LONGS = 8
 #: Sets with more elements have a wider bitmap too, of so many longs: the other one is full by then.
 _WIDER = ((2000, 64), (600, 16))
@@ -77,7 +81,7 @@ def bands(largest: int, percent: int = PERCENT) -> np.ndarray:
 
 @cache
 def scheme(band: int, percent: int) -> tuple[int, int, int]:
-    """(k, cells, m) of a band: the differences of linked sets, and how many cells may be empty."""
+    """(k, parts, m) of a band: the differences of linked sets, and the choices of cells that are equal at least."""
     first = 1
     for _ in range(band):
         first = first * 100 // percent + 1
@@ -86,16 +90,15 @@ def scheme(band: int, percent: int) -> tuple[int, int, int]:
         return 0, 0, 0
     least = max(1, -(-first * percent // 100))  # the smallest set that signs for the band
     best = (math.inf, 0, 0)
-    for m in range(0, 2 * k + 12, max(1, k // 64)):
-        cells = 2 * (-(-(k + 1 + m) // 2))
-        mean = cells * (1 - 1 / cells) ** least
-        # the chance that at most so many cells are empty, as of a Poisson variable
-        spare = cells - k - 1
+    for parts in range(k // 2 + 1, 2 * k + 12, max(1, k // 64)):
+        choices, m = CELLS * parts, 2 * parts - k
+        mean = choices * (1 - (CELLS - 1) / choices) ** least
+        # the chance of fewer than m empty choices, as of a Poisson variable
         if mean < 30:
-            fine = sum(math.exp(-mean) * mean**j / math.factorial(j) for j in range(spare + 1)) if spare < 150 else 1.0
+            fine = sum(math.exp(-mean) * mean**j / math.factorial(j) for j in range(m)) if m <= 150 else 1.0
         else:
-            fine = 0.5 * math.erfc((mean - spare - 0.5) / math.sqrt(2 * mean))
-        best = min(best, (cells / max(fine, 1e-9), cells, spare))
+            fine = 0.5 * math.erfc((mean - m + 0.5) / math.sqrt(2 * mean))
+        best = min(best, (choices / max(fine, 1e-9), parts, m))
     return k, best[1], best[2]
 
 
@@ -112,24 +115,26 @@ def signatures(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarr
     plans = np.array([scheme(b, percent) for b in range(int(own.max()) + 2)], dtype=np.int64)
     for step in (0, 1):
         band = own + step
-        k, cells, spare = plans[band].T
+        k, parts, equal = plans[band].T
         # the next band starts after the end of its own
         left = np.flatnonzero((sizes > 0) & (k > 0) & ((step == 0) | (sizes * 100 >= (ends[own] + 1) * percent)))
         deal = 0
         while len(left):
-            size, n = sizes[left], cells[left]
+            size, n = sizes[left], CELLS * parts[left]
             seed = mix(band[left].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(deal))
             h = mix(np.concatenate([sets[i] for i in left]) ^ np.repeat(seed, size))
             begin = np.cumsum(n) - n
             at = np.repeat(begin, size) + ((h >> np.uint64(32)) * np.repeat(n, size).astype(np.uint64) >> np.uint64(32)).astype(np.int64)
             g = mix(h + np.uint64(0x5BE0CD19137E2179))
             low, high = (np.bincount(at, (x & np.uint64(0xFFFFFFFF)).astype(float), int(n.sum())).astype(np.uint64) for x in (g, g >> np.uint64(32)))
-            full = np.flatnonzero(np.bincount(at, minlength=int(n.sum())))
+            # what a part holds without one of its cells
+            low, high, held = ((x.reshape(-1, CELLS).sum(axis=1, keepdims=True) - x.reshape(-1, CELLS)).ravel() for x in (low, high, np.bincount(at, minlength=int(n.sum()))))
+            full = np.flatnonzero(held)
             of = np.searchsorted(begin, full, side="right") - 1
             number = (full - begin[of]).astype(np.uint64)
             out.append(mix(mix(low[full] + number * np.uint64(0x9FB21C651E98DF25)) + mix(high[full] ^ seed[of])).view(np.int64))
             places.append(left[of])
-            left = left[n - np.bincount(of, minlength=len(left)) > spare[left]]
+            left = left[n - np.bincount(of, minlength=len(left)) >= equal[left]]
             deal += 1
     return np.concatenate(places), np.concatenate(out)
 
