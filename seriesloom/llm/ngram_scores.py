@@ -13,10 +13,11 @@ Where documents are scored by their own corpus no n-gram is missing, and a
 document's score is a plain sum: the logarithms of the counts of its longest
 n-grams, less those of the contexts inside it, less log N. Then the table
 needs no n-grams that occur once, since their logarithm is 0. The most frequent
-n-grams, ``HOT_ROWS`` at most, are broadcast and summed up while a document is
-read, so a frequent n-gram is never shuffled; each other one is a row (n-gram,
-document, sign) that meets the count table in a shuffle join. How much is broadcast
-does not change a value.
+n-grams are broadcast and summed up while a document is read, so a hot key is
+never shuffled: those that make up a ``HOT_KEY``-th of all words, and of the others
+one in ``HOT_SHARE`` of the table, ``HOT_ROWS`` at most. Each other n-gram is a row
+(n-gram, document, sign) that meets the count table in a shuffle join, on small
+tables too. How much is broadcast does not change a value.
 
 Documents without words have n_words 0 and a null score. Rows that share an id
 are scored as one document, null ids too. A very long text is read whole, in one
@@ -40,8 +41,12 @@ from .text import WordHashes, alnum_words, mix, shingle_hashes
 
 ORDER = 2
 ALPHA = 0.4
-#: Rows of the count table that are broadcast at most, of 16 bytes each.
+#: Rows of the count table that are broadcast at most, of 16 bytes each, besides hot keys.
 HOT_ROWS = 2_000_000
+#: At most one in so many rows of the count table is broadcast, besides hot keys.
+HOT_SHARE = 8
+#: An n-gram with this part of all words is a hot key; there are no more than that many of each size.
+HOT_KEY = 4096
 #: Documents that a task scores at once.
 _SLICE = 500
 _HASHES = WordHashes()
@@ -79,17 +84,17 @@ def count_table(corpus: DataFrame, order: int = ORDER, text_col: str = "text") -
     return counted.groupBy("size", "gram").agg(F.sum("n").alias("c"))
 
 
-def _hot(counts: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """(n-grams, counts, least): the n-grams with a count of least or more, sorted; they are so many rows at most."""
+def _hot(counts: DataFrame, total: int, rows: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(n-grams, counts, least): the n-grams with a count of least or more, sorted; hot keys, and so many other rows at most."""
     step = F.floor(4 * F.log2("c")).cast("int")
     size = {r[0]: r[1] for r in counts.where("c >= 2").groupBy(step.alias("step")).count().collect()}
-    lowest, n = max(size, default=0) + 1, 0
+    lowest, n, rows = max(size, default=0) + 1, 0, min(rows, sum(size.values()) // HOT_SHARE)
     for k in sorted(size, reverse=True):
         n += size[k]
         if n > rows:
             break
         lowest = k
-    top = counts.where("c >= 2").where(step >= lowest).select("gram", "c").toArrow()
+    top = counts.where("c >= 2").where((step >= lowest) | (F.col("c") * HOT_KEY >= total)).select("gram", "c").toArrow()
     gram, c = (top.column(k).to_numpy() for k in (0, 1))
     at = np.argsort(gram.view(np.uint64))
     least = int(c.min()) if len(c) else np.iinfo(np.int64).max
@@ -199,7 +204,7 @@ def backoff_scores(
     """(doc_id, n_words, n_repeated, log_score, score): n_repeated are the document's n-grams that the corpus has twice or
     more, score is the mean of the words. corpus: the documents themselves where it is None.
 
-    hot_rows says how much of the table is broadcast; results don't depend on it.
+    hot_rows says how much of the table is broadcast at most, besides hot keys; results don't depend on it.
     """
     scratch, own = Scratch(docs.sparkSession), corpus is None
     counts = count_table(docs if own else corpus, order, text_col)
@@ -207,7 +212,7 @@ def backoff_scores(
     total = counts.where("size = 0").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     counts = counts.where("size > 0")
     if own:
-        names, c, least = _hot(counts, hot_rows)
+        names, c, least = _hot(counts, total, hot_rows)
         rest = counts.where(F.col("c") < least).select("gram", "c")
         rows = _scored(docs, docs.sparkSession.sparkContext.broadcast((names, c)), total, order, id_col, text_col)
         settled = F.col("sign").isNull()

@@ -8,7 +8,7 @@ import re
 import time
 import zlib
 from collections import Counter
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pytest
@@ -539,6 +539,28 @@ def test_scores_of_the_own_corpus_as_by_hand(spark, order, hot_rows):
     same_scores(ngram_scores.backoff_scores(df, order=order, hot_rows=hot_rows).collect(), scores_by_hand(rows, rows, order))
 
 
+def test_the_join_carries_counts_on_small_tables_and_hot_keys_are_broadcast(spark):
+    rnd = random.Random(6)
+    rows = [(k, " ".join(f"w{int(rnd.paretovariate(0.5)) % 3000}" for _ in range(60))) for k in range(400)]
+    table = ngram_scores.count_table(spark.createDataFrame(rows, "doc_id bigint, text string")).where("size > 0 and c >= 2").persist()
+    for rows_at_most in (0, 10**6):
+        names, c, least = ngram_scores._hot(table, 24_000, rows_at_most)
+        rest = [r["c"] for r in table.where(f"c < {least}").collect()]
+        assert len(rest) > 500 and max(rest) * ngram_scores.HOT_KEY < 24_000 and len(names) + len(rest) == table.count()
+        assert len(names) <= table.count() // ngram_scores.HOT_SHARE + table.where(f"c * {ngram_scores.HOT_KEY} >= 24000").count()
+    table.unpersist()
+
+
+def test_any_differences_within_the_scheme_leave_an_equal_choice_of_cells():
+    rnd = np.random.default_rng(5)
+    for band, percent in product(range(1, 40), (70, 80, 90)):
+        k, parts, equal = jaccard_join.scheme(band, percent)
+        for _ in range(20 * (k > 0)):
+            cell = rnd.integers(0, rnd.integers(1, parts * jaccard_join.CELLS + 1), k)  # the cells of the differences
+            differing = np.bincount(np.unique(cell) // jaccard_join.CELLS, minlength=parts)
+            assert 3 * (differing == 0).sum() + (differing == 1).sum() >= equal > 0
+
+
 @pytest.mark.parametrize("order", [1, 3])
 def test_scores_of_another_corpus_back_off(spark, order):
     rnd = random.Random(4)
