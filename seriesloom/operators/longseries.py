@@ -22,6 +22,10 @@ from . import backtest, clean, signals
 from .features import add_returns, add_signal, add_volatility, all_features, basic_features
 
 
+#: Growth of chunks is multiplied in another order than growth of rows: drawdowns that differ by less are the same.
+SAME = 1e-11
+
+
 def _long(p: Params) -> Params:
     return replace(p, long_series=True)
 
@@ -65,7 +69,7 @@ def with_drawdown(df: DataFrame, returns: str = "returns", p: Params = DEFAULTS)
 
     A chunk comes to the product of its growth and to the highest point within it, both from one pass: the highest point
     so far is the largest, over chunks, of the growth before times the highest within. Growth of chunks is multiplied in
-    another order than growth of rows, so a drawdown of less than 1e-12 is taken for none.
+    another order than growth of rows, so a drawdown of less than SAME is taken for none.
     """
     at = df if PLACE in df.columns else placed(df, p)
     at = at.withColumn("_f", F.coalesce(1 + F.col(returns), F.lit(1.0)))
@@ -82,19 +86,22 @@ def with_drawdown(df: DataFrame, returns: str = "returns", p: Params = DEFAULTS)
     at = at.withColumn("cum_returns", F.when(F.col(returns).isNotNull(), F.col("_before") * F.col("_in")))
     at = at.withColumn("running_max", F.greatest("_top_before", F.max("cum_returns").over(inside())))
     down = ratio(F.col("cum_returns") - F.col("running_max"), F.col("running_max"))
-    return at.withColumn("drawdown", F.when(F.abs(down) < 1e-12, 0.0).otherwise(down)).drop("_f", "_in", "_known", "_top", "_before", "_top_before")
+    return at.withColumn("drawdown", F.when(F.abs(down) < SAME, 0.0).otherwise(down)).drop("_f", "_in", "_known", "_top", "_before", "_top_before")
 
 
 def drawdown_metrics(df: DataFrame, returns: str = "returns", p: Params = DEFAULTS) -> DataFrame:
-    """As metrics.drawdown_metrics. Lengths of drawdowns need no runs: their mean is rows under water by entries into it."""
+    """As metrics.drawdown_metrics. Lengths of drawdowns need no runs: their mean is rows under water by entries into it. Of
+    drawdowns that are equal but for rounding the first is the deepest, whatever the chunks."""
     at = with_drawdown(df, returns, p).withColumn("_under", F.coalesce(F.col("drawdown") < 0, F.lit(False)))
     at = with_carry(at, {"_b": last_row("_under")})
     was = F.coalesce(F.lag("_under").over(rows_of_chunk()), F.col("_b.v"), F.lit(False))
-    order = F.when(F.col("drawdown").isNotNull(), F.struct("drawdown", PLACE))
     worst = at.withColumn("_enters", F.col("_under") & ~was).groupBy(KEY).agg(
-        F.min("drawdown").alias("_dd"), F.min_by("timestamp", order).alias("max_drawdown_date"), F.min_by(PLACE, order).alias("_worst"), F.max(PLACE).alias("_last"),
+        F.min("drawdown").alias("_dd"), F.max(PLACE).alias("_last"),
         F.max_by(F.struct("cum_returns"), PLACE).getField("cum_returns").alias("_growth"), F.count_if("_under").alias("_rows"), F.count_if("_enters").alias("_times"),
     )
+    deepest = at.select(KEY, PLACE, "timestamp", "drawdown").join(worst.select(KEY, "_dd"), KEY).where(F.col("drawdown") <= F.col("_dd") + SAME)
+    deepest = deepest.groupBy(KEY).agg(F.min_by("timestamp", PLACE).alias("max_drawdown_date"), F.min(PLACE).alias("_worst"))
+    worst = worst.join(deepest, KEY, "left")
     back = at.select(KEY, PLACE, "drawdown").join(worst.select(KEY, "_worst"), KEY).where((F.col(PLACE) >= F.col("_worst")) & (F.col("drawdown") >= 0)).groupBy(KEY).agg(F.min(PLACE).alias("_back"))
     out = worst.join(back, KEY, "left")
     cagr = (F.pow(F.col("_growth"), p.annual_factor / (F.col("_last") + 1)) - 1) * 100

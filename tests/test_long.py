@@ -85,6 +85,25 @@ def test_growth_below_zero(spark, p):
     same(longseries.with_drawdown(r, p=p).select(columns), metrics.with_drawdown(r).select(columns))
 
 
+def test_equal_drawdowns_whatever_the_chunks(spark):
+    """Prices that come back to the same top and bottom: of equal drawdowns the first counts, and a second top is none."""
+    rng, prices = random.Random(8), [100.0]
+    for k in range(4000):
+        prices.append([100.01, 99.99][k // 50 % 2] if k % 50 == 25 else 100 + rng.randrange(-900, 900) / 100_000)
+    top, deepest, under = 0.0, (0.0, 0), []
+    for k, price in enumerate(prices[1:], 1):
+        top = max(top, price)
+        deepest = min(deepest, ((price - top) / top, k))
+        under.append(price < top)
+    entries = sum(b and not a for a, b in zip([False, *under], under, strict=False))
+    df = spark.createDataFrame([("a", k, k, x) for k, x in enumerate(prices)], "series_key string, seq bigint, k bigint, price double")
+    r = features.add_returns(df.select(KEY, "seq", F.timestamp_seconds("k").alias("timestamp"), "price"))
+    for rows in (7, 50, 64, 300):
+        got = longseries.drawdown_metrics(r, p=Params(chunk_rows=rows, bucket_seconds=1_000)).first()
+        assert got["max_drawdown_date"].timestamp() == deepest[1], rows
+        assert got["avg_drawdown_duration"] == pytest.approx(sum(under) / entries)
+
+
 def test_signals_equity_and_trades(spark, p):
     df = tick(spark, SF).withColumn("price", 100 + F.col("price") / 10)
     want = signals.all_signals(features.add_volatility(features.add_returns(df)))
