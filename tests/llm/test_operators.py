@@ -403,6 +403,37 @@ def test_recall_of_edits_that_grow_with_the_line(spark, docs):
     assert {k: found[k] / all_[k] for k, least in wanted.items() if found[k] / all_[k] < least} == {}
 
 
+def test_lines_of_few_or_very_many_words_link(spark):
+    """Lines of one and two words against brute force, lines without blanks, and lines of more words than blocks can count."""
+    rnd = random.Random(11)
+    lines = set()
+    for size in [*range(8, 34), 45, 60]:
+        for blank in (False, True):
+            x = [rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(size)]
+            if blank:
+                x[size // 3] = " "
+            for _ in range(3):
+                y = list(x)
+                for _ in range(max(1, size // 10)):
+                    k = rnd.randrange(len(y))
+                    y[k : k + rnd.choice([0, 1, 1])] = rnd.choice(["", "e", "q"])
+                lines |= {normal("".join(x)), normal("".join(y))}
+    lines = sorted(lines)
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string").repartition(3)
+    table = line_dedup.Scratch(spark).write(line_dedup.distinct_lines(df))
+    root = {r["id"]: r["root"] for r in line_dedup.line_groups(df, table).collect()}
+    of = {r["line"]: root.get(r["h"], r["h"]) for r in line_dedup._lines(df, "doc_id", "text").collect()}
+    pairs = [(a, b) for k, a in enumerate(lines) for b in lines[:k] if distance(a, b) * 100 <= 10 * max(len(a), len(b))]
+    assert len(pairs) > 100 and [(a, b) for a, b in pairs if of[a] != of[b]] == []
+    assert len(set(of.values())) >= 50
+
+    many = [f"{rnd.randrange(16**6):x}" for _ in range(line_dedup.MAX_WORDS + 2_000)]
+    none = "".join(chr(0x4E00 + rnd.randrange(2_000)) for _ in range(400))
+    texts = [" ".join(many), " ".join([*many[:9_000], "and", *many[9_001:], "more"]), none, none[:100] + none[101:300] + "x" + none[300:]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert [r["_dropped"] for r in line_dedup.dedup_lines(df).orderBy("doc_id").collect()] == [0, 1, 0, 1]
+
+
 def test_equal_rows_keep_the_same_lines(spark):
     df = spark.createDataFrame([(1, "a\nb"), (1, "a\nb"), (None, "b\nc"), (2, "a\nc\n\n")], "doc_id bigint, text string")
     got = sorted((str(r["doc_id"]), r["text"]) for r in line_dedup.dedup_lines(df).collect())
