@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .pieces import DEFAULT_VOCABULARY, PieceEncoder
 
 LONG_WORD = 256
+#: Rows whose ids and decoded texts are held at a time.
+AT_ONCE = 1024
 _NEVER = 1 << 60
 
 
@@ -142,7 +144,8 @@ def encode_documents(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(vocabulary)
-        for b in batches:
+        # A whole batch would hold texts, ids and decoded texts several times over.
+        for b in (b.slice(k, AT_ONCE) for b in batches for k in range(0, b.num_rows, AT_ONCE)):
             got = bpe.encode(b.column(1).to_pylist())
             ends = np.cumsum([0, *[len(i) // 4 for i in got]], dtype=np.int32)
             flat = np.frombuffer(b"".join(got), dtype="<u4").astype(np.int32)

@@ -434,6 +434,15 @@ def test_lines_of_few_or_very_many_words_link(spark):
     assert [r["_dropped"] for r in line_dedup.dedup_lines(df).orderBy("doc_id").collect()] == [0, 1, 0, 1]
 
 
+def test_rows_of_a_batch_are_encoded_in_parts(spark):
+    """More rows than are held at a time, in one batch: none is lost or out of place."""
+    rows = [(k, None if k % 97 == 0 else f"row {k} of many") for k in range(2 * bpe_codec.AT_ONCE + 5)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    got = bpe_codec.encode_documents(df).select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    want = bpe_codec.encode_digests(df).select("doc_id", "n_tokens", "decoded_sha256")
+    assert got.count() == len(rows) and got.exceptAll(want).count() == 0
+
+
 def test_equal_rows_keep_the_same_lines(spark):
     df = spark.createDataFrame([(1, "a\nb"), (1, "a\nb"), (None, "b\nc"), (2, "a\nc\n\n")], "doc_id bigint, text string")
     got = sorted((str(r["doc_id"]), r["text"]) for r in line_dedup.dedup_lines(df).collect())
