@@ -403,6 +403,34 @@ def test_recall_of_edits_that_grow_with_the_line(spark, docs):
     assert {k: found[k] / all_[k] for k, least in wanted.items() if found[k] / all_[k] < least} == {}
 
 
+def test_stretches_far_apart_are_not_paired(spark, monkeypatch):
+    """Lines of the same letters and different words that share one stretch at six places: the second round compares only
+    lines that have it at about the same place."""
+    rnd = random.Random(3)
+    words = ["".join(rnd.choices("etainosr", k=6)) for _ in range(30)]
+    common = ["edge", "stone", "rind", "haste", "load", "trees", "under", "shore"]
+    lines = []
+    for k in range(24):
+        own = ["".join(rnd.sample(w, len(w))) for w in words]
+        lines.append(" ".join([*own[: k % 6 * 5], *common, *own[k % 6 * 5 :]]))
+    # an edited line whose stretches are moved still links
+    lines.append("ed ge " + lines[0])
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
+    table = line_dedup.Scratch(spark).write(line_dedup.distinct_lines(df))
+    pairs, link_groups = [], linking.link_groups
+
+    def counting(keyed, features, may_link, verify, **more):
+        def counted(found, texts):
+            pairs.append(found.count())
+            return verify(found, texts)
+
+        return link_groups(keyed, features, may_link, counted, **more)
+
+    monkeypatch.setattr(line_dedup, "link_groups", counting)
+    root = {r["id"]: r["root"] for r in line_dedup.line_groups(df, table).collect()}
+    assert len(root) == 2 and 0 < pairs[1] <= 6 * 6 + 4
+
+
 def test_lines_of_few_or_very_many_words_link(spark):
     """Lines of one and two words against brute force, lines without blanks, and lines of more words than blocks can count."""
     rnd = random.Random(11)
