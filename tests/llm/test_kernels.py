@@ -9,7 +9,7 @@ import random
 import numpy as np
 import pytest
 
-from seriesloom.llm import bpe_codec, contamination, fingerprints, jaccard_join, quality, text, token_blocks, trie_counts
+from seriesloom.llm import bpe_codec, contamination, fingerprints, jaccard_join, pieces, quality, text, token_blocks, trie_counts
 from seriesloom.llm.pieces import DEFAULT_VOCABULARY, LibraryEncoder, tokenizer
 
 LIBRARY = tokenizer(DEFAULT_VOCABULARY)
@@ -79,6 +79,14 @@ def brute_hits(doc, items, size):
     return words, hit, found
 
 
+def test_texts_without_marks_side_by_side_are_split_without_the_pattern(monkeypatch):
+    rnd, pattern = random.Random(4), pieces._PIECES
+    texts = ["".join(rnd.choices(["a", "bc", " ", "  ", ".", ",", "-", "'", "'s", "7", "é", "\n", "\t"], k=rnd.randrange(12))) for _ in range(20_000)]
+    assert [pieces.pieces(t) for t in texts] == [pattern.findall(t) for t in texts]
+    monkeypatch.setattr(pieces, "_PIECES", None)
+    assert pieces.pieces("One, two. Né-é 1234 (x)\n\nend") == ["one", ",", "two", ".", "né", "-", "é", "1", "2", "3", "4", "(", "x", ")", "end"]
+
+
 def test_windows_as_by_brute_force():
     rnd = random.Random(5)
     word = lambda: rnd.choice(["a", "B", "é", "d1", "ab"])
