@@ -431,6 +431,44 @@ def test_stretches_far_apart_are_not_paired(spark, monkeypatch):
     assert len(root) == 2 and 0 < pairs[1] <= 6 * 6 + 4
 
 
+def test_places_and_letters_travel_without_the_text(spark, monkeypatch):
+    """A key's place is in characters, so the second round needs no text; counts of letters are packed in two longs, and
+    only texts of pairs are joined."""
+    rnd = random.Random(5)
+    words = ["".join(rnd.choices("etainosrhlduxy", k=rnd.randrange(2, 9))) for _ in range(4_000)]
+    base = [" ".join(rnd.sample(words, n)) for n in (12, 20, 60, 1_500)] + ["e" * 1_100 + " " + " ".join(rnd.sample(words, 40))]
+    lines = [*base, *[x[:-3] + "q" + x[-2:] for x in base]]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
+    hashes = {r["line"]: r["h"] for r in line_dedup._lines(df, "doc_id", "text").collect()}
+    places = {}
+    for r in line_dedup._stretches(df, "doc_id", "text").collect():
+        places.setdefault(r["id"], set()).add(r["place"])
+    for x in lines:
+        starts = [k for k in range(len(x)) if k == 0 or x[k - 1] == " "]
+        allowed = {p if (p := max(k - 1, 0) // line_dedup.GRAIN + 1) <= linking.PLACES else 0 for k in starts}  # without the blank before it
+        assert places[hashes[x]] <= allowed and len(places[hashes[x]] - {0}) > 2
+
+    table = line_dedup.Scratch(spark).write(line_dedup.distinct_lines(df))
+    seen, link_groups = [], linking.link_groups
+
+    def looking(keyed, features, may_link, verify, **more):
+        def looked(ids):
+            found = features(ids)
+            seen.extend(found.collect())
+            return found
+
+        return link_groups(keyed, looked, may_link, verify, **more)
+
+    monkeypatch.setattr(line_dedup, "link_groups", looking)
+    groups = line_dedup.line_groups(df, table).collect()
+    assert len(groups) == len(lines) and len({r["root"] for r in groups}) == len(base)
+    assert {r["line"] for r in seen} == set(lines)
+    for r in seen:
+        assert set(r.asDict()) == {"id", "chars", "line", "letters0", "letters1"}
+        for k, x in enumerate(line_dedup.LETTERS):
+            assert r[f"letters{k % 2}"] >> 10 * (k // 2) & 1023 == min(r["line"].count(x), 1023)
+
+
 def test_lines_of_few_or_very_many_words_link(spark):
     """Lines of one and two words against brute force, lines without blanks, and lines of more words than blocks can count."""
     rnd = random.Random(11)
