@@ -25,6 +25,7 @@ from seriesloom.llm import (
     ngram_scores,
     quality,
     queries,
+    shared,
     text,
     token_blocks,
     trie_counts,
@@ -469,6 +470,43 @@ def test_places_and_letters_travel_without_the_text(spark, monkeypatch):
             assert r[f"letters{k % 2}"] >> 10 * (k // 2) & 1023 == min(r["line"].count(x), 1023)
 
 
+def test_other_letters_tell_lines_apart_before_their_texts_are_joined(spark, monkeypatch):
+    """Lines that share a stretch and the counts of the most frequent letters, but differ in others and in the numbers of
+    words, never come to the edit distance; edited lines do."""
+    rnd = random.Random(4)
+    own = ["".join(rnd.choice("cgw" if k % 2 else line_dedup.LETTERS) for k in range(6)) for _ in range(30)]
+    other = [w.translate(str.maketrans("cgw", "fmq")) for w in own]
+    stretch = ["one", "two", "three", "four"]
+    lines = [" ".join([*w[:10], *stretch, *w[10:]]) for w in (own, other)]
+    lines += [x[:-3] + "0" + x[-2:] for x in lines]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
+    table = line_dedup.Scratch(spark).write(line_dedup.distinct_lines(df))
+    compared, by_words = [], line_dedup._by_words
+
+    def counting(pairs):
+        compared.append(pairs.count())
+        return by_words(pairs.where(F.col("x").isNotNull()))
+
+    monkeypatch.setattr(line_dedup, "_by_words", counting)
+    monkeypatch.setattr(line_dedup, "ALIKE", 0)
+    groups = line_dedup.line_groups(df, table).collect()
+    assert len(groups) == 4 and len({r["root"] for r in groups}) == 2
+    assert sum(compared) == 2
+
+
+def test_a_full_heap_of_the_driver_is_collected_after_a_write(spark, monkeypatch):
+    """Whatever earlier steps left in the driver's heap goes when a table is written, if it is more than a share of it."""
+    runtime = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    used = lambda: runtime.totalMemory() - runtime.freeMemory()
+    scratch = shared.Scratch(spark)
+    for _ in range(20):
+        spark.range(1).selectExpr("repeat('x', 10000000) AS x").collect()
+    before = used()
+    monkeypatch.setattr(shared, "HEAP_SHARE", 0.0)
+    scratch.write(spark.range(1))
+    assert used() < before
+
+
 def test_lines_of_few_or_very_many_words_link(spark):
     """Lines of one and two words against brute force, lines without blanks, and lines of more words than blocks can count."""
     rnd = random.Random(11)
