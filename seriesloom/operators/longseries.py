@@ -14,15 +14,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.blocks import compounded_in_blocks
 from ..functions.chunks import CHUNK, PLACE, chunks_before, compounded_in_chunks, dropped, in_chunks, inside, last_known, last_row, placed, rows_of_chunk, run_numbers, running_max_in_chunks, with_carry
 from ..functions.expr import KEY, lag, ratio, roll, rows, sign_of
 from ..functions.quantiles import quantiles
 from ..params import DEFAULTS, Params
+from ..sources.scratch import settled
 from . import backtest, clean, signals
 from .features import add_returns, add_signal, add_volatility, all_features, basic_features
 
 
-#: Growth of chunks is multiplied in another order than growth of rows: drawdowns that differ by less are the same.
+#: Growth of blocks is multiplied in another order than growth of rows: drawdowns that differ by less are the same.
 SAME = 1e-11
 
 
@@ -64,42 +66,31 @@ def rolling_quantile(df: DataFrame, column: str, q: float, n: int, name: str, p:
     return at.join(copies.groupBy(KEY, "_for").applyInPandas(slide, kinds), [KEY, PLACE])
 
 
-def with_drawdown(df: DataFrame, returns: str = "returns", p: Params = DEFAULTS) -> DataFrame:
+def with_drawdown(df: DataFrame, returns: str = "returns", p: Params = DEFAULTS, same: float = SAME) -> DataFrame:
     """cum_returns, running_max and drawdown from the start of the series; keeps the places of rows.
 
-    A chunk comes to the product of its growth and to the highest point within it, both from one pass: the highest point
-    so far is the largest, over chunks, of the growth before times the highest within. Growth of chunks is multiplied in
-    another order than growth of rows, so a drawdown of less than SAME is taken for none.
+    Growth is multiplied in the order of a tree of blocks, whatever the chunks. That is not the order of rows, so a drawdown
+    of less than ``same`` is taken for none; 0 takes it as it comes out, as SQL does.
     """
-    at = df if PLACE in df.columns else placed(df, p)
-    at = at.withColumn("_f", F.coalesce(1 + F.col(returns), F.lit(1.0)))
-    at = at.withColumn("_in", F.product("_f").over(inside()))
-    at = at.withColumn("_known", F.when(F.col(returns).isNotNull(), F.col("_in")))
-    at = at.withColumn("_top", F.max("_known").over(inside()))
-    # the growth before a chunk may be negative: then its lowest point inside is the highest of all
-    sums = at.groupBy(KEY, CHUNK).agg(F.product("_f").alias("growth"), F.max("_known").alias("high"), F.min("_known").alias("low"))
-    before = chunks_before()
-    sums = sums.withColumn("_before", F.coalesce(F.product("growth").over(before), F.lit(1.0)))
-    sums = sums.withColumn("_best", F.greatest(F.col("_before") * F.col("high"), F.col("_before") * F.col("low")))
-    sums = sums.select(KEY, CHUNK, "_before", F.max("_best").over(before).alias("_top_before"))
-    at = at.join(sums, [KEY, CHUNK])
-    at = at.withColumn("cum_returns", F.when(F.col(returns).isNotNull(), F.col("_before") * F.col("_in")))
-    at = at.withColumn("running_max", F.greatest("_top_before", F.max("cum_returns").over(inside())))
+    at = compounded_in_blocks(df if PLACE in df.columns else placed(df, p), "cum_returns", returns)
+    at = running_max_in_chunks(at, "running_max", "cum_returns")
     down = ratio(F.col("cum_returns") - F.col("running_max"), F.col("running_max"))
-    return at.withColumn("drawdown", F.when(F.abs(down) < SAME, 0.0).otherwise(down)).drop("_f", "_in", "_known", "_top", "_before", "_top_before")
+    return at.withColumn("drawdown", F.when(F.abs(down) < same, 0.0).otherwise(down))
 
 
-def drawdown_metrics(df: DataFrame, returns: str = "returns", p: Params = DEFAULTS) -> DataFrame:
+def drawdown_metrics(df: DataFrame, returns: str = "returns", p: Params = DEFAULTS, same: float = SAME) -> DataFrame:
     """As metrics.drawdown_metrics. Lengths of drawdowns need no runs: their mean is rows under water by entries into it. Of
-    drawdowns that are equal but for rounding the first is the deepest, whatever the chunks."""
-    at = with_drawdown(df, returns, p).withColumn("_under", F.coalesce(F.col("drawdown") < 0, F.lit(False)))
+    drawdowns that differ by ``same`` or less the first is the deepest, whatever the chunks."""
+    # Written once: six reads follow, each of which would multiply the growth anew.
+    at = settled(with_drawdown(df, returns, p, same).select(KEY, PLACE, CHUNK, "timestamp", "cum_returns", "drawdown"))
+    at = at.withColumn("_under", F.coalesce(F.col("drawdown") < 0, F.lit(False)))
     at = with_carry(at, {"_b": last_row("_under")})
     was = F.coalesce(F.lag("_under").over(rows_of_chunk()), F.col("_b.v"), F.lit(False))
     worst = at.withColumn("_enters", F.col("_under") & ~was).groupBy(KEY).agg(
         F.min("drawdown").alias("_dd"), F.max(PLACE).alias("_last"),
         F.max_by(F.struct("cum_returns"), PLACE).getField("cum_returns").alias("_growth"), F.count_if("_under").alias("_rows"), F.count_if("_enters").alias("_times"),
     )
-    deepest = at.select(KEY, PLACE, "timestamp", "drawdown").join(worst.select(KEY, "_dd"), KEY).where(F.col("drawdown") <= F.col("_dd") + SAME)
+    deepest = at.select(KEY, PLACE, "timestamp", "drawdown").join(worst.select(KEY, "_dd"), KEY).where(F.col("drawdown") <= F.col("_dd") + same)
     deepest = deepest.groupBy(KEY).agg(F.min_by("timestamp", PLACE).alias("max_drawdown_date"), F.min(PLACE).alias("_worst"))
     worst = worst.join(deepest, KEY, "left")
     back = at.select(KEY, PLACE, "drawdown").join(worst.select(KEY, "_worst"), KEY).where((F.col(PLACE) >= F.col("_worst")) & (F.col("drawdown") >= 0)).groupBy(KEY).agg(F.min(PLACE).alias("_back"))

@@ -5,16 +5,22 @@ from __future__ import annotations
 import math
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import oracle_sql, queries
 from seriesloom.functions import chunks
+from seriesloom.functions.blocks import compounded_in_blocks
+from seriesloom.functions.chunks import PLACE
 from seriesloom.functions.expr import KEY, series_window
 from seriesloom.functions.quantiles import quantiles, quantiles_by_ranges
 from seriesloom.operators import backtest, catalogue, clean, features, longseries, metrics, quality, signals, summary
 from seriesloom.params import Params
 from seriesloom.sources.series import tick, ticks
 
+from .oracle import connect, difference
+
 SF = "/root/testdata/sf0.001"
 SIZES = [Params(chunk_rows=7, bucket_seconds=3_000, flat_run=2, metric_window=30), Params(chunk_rows=64, bucket_seconds=400_000, flat_run=2, metric_window=30)]
 
@@ -104,6 +110,45 @@ def test_equal_drawdowns_whatever_the_chunks(spark):
         assert got["avg_drawdown_duration"] == pytest.approx(sum(under) / entries)
 
 
+def with_copies(tmp_path, copies, lowest):
+    """A folder with events that come several times at the same time."""
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT event_id * {copies} + k AS event_id, ts, user_id, event_type, greatest(value, {lowest}) AS value, props FROM read_parquet('{SF}/events.parquet'), range({copies}) t(k)) TO '{tmp_path}/events.parquet'")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name", ["long_drawdown", "long_features", "long_signals"])
+def test_ties_fall_as_in_sql(spark, tmp_path, name):
+    """Six equal prices in a row and a bottom that many rows share: averages that meet, volatilities at the quantile and
+    drawdowns of one depth are decided by the last bits, so sums and products are taken in the SQL's order."""
+    folder = with_copies(tmp_path, 6, 20)
+    assert difference(queries()[name](spark, folder), connect(folder), oracle_sql()[name]) is None
+
+
+def test_averages_that_meet_fall_as_in_sql(spark, tmp_path):
+    """Prices that repeat after five rows: averages of 5 and 20 rows are equal, and only the order of sums tells them apart."""
+    path = f"{tmp_path}/events.parquet"
+    duckdb.connect().execute(f"COPY (SELECT event_id, ts, [101.13, 202.37, 53.83, 70.59, 7.13][event_id % 5 + 1]::DOUBLE AS value FROM read_parquet('{SF}/events.parquet')) TO '{path}'")
+    assert difference(queries()["long_signals"](spark, str(tmp_path)), connect(str(tmp_path)), oracle_sql()["long_signals"]) is None
+
+
+def test_growth_in_the_order_of_blocks(spark):
+    """Products come out to the last bit as those of a tree of 16, over several pieces, with a missing return."""
+    rng = random.Random(6)
+    returns = [None if k in (0, 4500) else rng.gauss(0, 0.01) for k in range(9000)]
+    levels = [[1.0 if r is None else 1 + r for r in returns]]
+    while len(levels[-1]) > 1:
+        levels.append([math.prod(levels[-1][k : k + 16], start=1.0) for k in range(0, len(levels[-1]), 16)])
+    df = spark.createDataFrame(list(enumerate(returns)), f"{PLACE} bigint, returns double").withColumn(KEY, F.lit("a"))
+    got = {r[PLACE]: r["c"] for r in compounded_in_blocks(df, "c", "returns").collect()}
+    for k, r in enumerate(returns):
+        end, parts = k + 1, []
+        for level in levels:
+            parts.insert(0, level[end // 16 * 16 : end])
+            end //= 16
+        assert got[k] == (None if r is None else math.prod([x for part in parts for x in part], start=1.0)), k
+
+
 def test_signals_equity_and_trades(spark, p):
     df = tick(spark, SF).withColumn("price", 100 + F.col("price") / 10)
     want = signals.all_signals(features.add_volatility(features.add_returns(df)))
