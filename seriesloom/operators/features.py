@@ -20,13 +20,13 @@ def add_returns(df: DataFrame) -> DataFrame:
 
 def add_moving_averages(df: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     for n in p.ma_windows:
-        df = df.withColumn(f"ma_{n}", mean_of_last(df, "price", n))
+        df = df.withColumn(f"ma_{n}", mean_of_last(df, "price", n, p))
     return df.withColumns({f"price_to_ma_{n}": ratio(F.col("price") - F.col(f"ma_{n}"), F.col(f"ma_{n}")) for n in p.ma_windows})
 
 
 def add_volatility(df: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """Needs returns."""
-    df = df.withColumns({f"volatility_{n}": deviation_of_last(df, "returns", n) for n in p.vol_windows})
+    df = df.withColumns({f"volatility_{n}": deviation_of_last(df, "returns", n, p) for n in p.vol_windows})
     df = df.withColumns({f"volatility_{n}_annual": F.col(f"volatility_{n}") * F.sqrt(F.lit(p.annual_factor)) for n in p.vol_windows})
     return df.withColumn("vol_of_vol", roll(F.stddev_samp, "volatility_20", 20))
 
@@ -51,7 +51,7 @@ def add_rsi(df: DataFrame, p: Params = DEFAULTS) -> DataFrame:
 
 
 def add_bands(df: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    df = df.withColumns({"bb_middle": mean_of_last(df, "price", p.band_window), "_width": deviation_of_last(df, "price", p.band_window) * p.band_width})
+    df = df.withColumns({"bb_middle": mean_of_last(df, "price", p.band_window, p), "_width": deviation_of_last(df, "price", p.band_window, p) * p.band_width})
     df = df.withColumns({"bb_upper": F.col("bb_middle") + F.col("_width"), "bb_lower": F.col("bb_middle") - F.col("_width")}).drop("_width")
     span = F.col("bb_upper") - F.col("bb_lower")
     return df.withColumns({"bb_bandwidth": ratio(span, F.col("bb_middle")), "bb_percent": ratio(F.col("price") - F.col("bb_lower"), span)})
@@ -81,7 +81,7 @@ def add_calendar(df: DataFrame) -> DataFrame:
 
 
 def add_z_score(df: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    df = df.withColumns({"deviation": F.col("price") - mean_of_last(df, "price", p.lookback), "rolling_std": deviation_of_last(df, "price", p.lookback)})
+    df = df.withColumns({"deviation": F.col("price") - mean_of_last(df, "price", p.lookback, p), "rolling_std": deviation_of_last(df, "price", p.lookback, p)})
     return df.withColumn("z_score", ratio(F.col("deviation"), F.col("rolling_std")))
 
 

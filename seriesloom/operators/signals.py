@@ -31,7 +31,7 @@ def momentum(df: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """signal_momentum from two averages; a rate of change of the other sign sets it to 0, a missing one leaves it."""
     for n in (5, 20):
         if f"ma_{n}" not in df.columns:
-            df = df.withColumn(f"ma_{n}", mean_of_last(df, "price", n))
+            df = df.withColumn(f"ma_{n}", mean_of_last(df, "price", n, p))
     fast, slow = F.col("ma_5"), F.col("ma_20")
     roc = F.col("roc_20") if "roc_20" in df.columns else change("price", 20) * 100
     df = df.withColumns({"_s": sign_of(fast > slow, fast < slow), "_roc": roc, "momentum_strength": clip(ratio(fast - slow, slow) * 100, -2, 2)})

@@ -38,7 +38,8 @@ class Params:
     train_years: int = 6
     rebalance_months: int = 1
     ridge_alpha: float = 1.0
-    #: A series may be longer than one task should hold: exact quantiles go by ranges of values.
+    #: A series may be longer than one task should hold: exact quantiles go by ranges of values, and sums
+    #: of rows by blocks, in an order that chunks do not change.
     long_series: bool = False
     #: Rows of a chunk of a long series, and the length of the time buckets in which rows are numbered.
     chunk_rows: int = 1_000_000
